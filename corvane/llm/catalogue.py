@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, leakage, pieces
+from corvane.llm import bpe, doc_pairs, handwritten, leakage, pieces, truncation
 from corvane.session import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.foreign_files(read_table(spark, folder, "code_chunk")).select("repo", "file_path").distinct()
+
+
+def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files of each repository aren't hand-written, and why."""
+    files = handwritten.foreign_files(read_table(spark, folder, "code_chunk"))
+    return files.groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pairs(spark, folder).select("chunk_no", "method_name").distinct()
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return doc_pairs.function_doc_pairs(read_table(spark, folder, "code_chunk"))
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_oversized(read_table(spark, folder, "code_chunk"), read_table(spark, folder, "chunk_limit"))
 
@@ -44,13 +62,27 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(_passages(spark, folder)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest").alias("longest"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_report(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 ORACLE = {
