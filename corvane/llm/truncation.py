@@ -32,7 +32,6 @@ _PYTHON_END = re.compile(r"^\s*(?:return\b|raise\b|pass\b|yield\b|break\b|contin
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 _SIGN_OFF = re.compile(r"^\s*(?:(?:see|see also|vgl|ref)\b:?\s+\S+|build \d+|regards,?|thanks,?|cheers,?|\(end\))\s*$", re.I)
-_SENTENCE_END = re.compile(r"(?:[^\W\d_]{1,}[^\n;{}=]*\s+){3,}[^\n;{}=]*[.!?]\W*$|[。！？।]\W*$")
 _TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
 
 #: A length is a limit of a source if this many of its texts have it, beyond EXPECTED times those of a usual length nearby.
@@ -92,6 +91,14 @@ def _is_code(lines: list[str]) -> bool:
     return bool(solid) and sum(bool(_CODE_HINT.search(x)) for x in solid) * 2 > len(solid)
 
 
+def _ends_sentence(line: str) -> bool:
+    """Whether a line is prose that ends with its terminator."""
+    bare = line.rstrip(_CLOSERS + " ")
+    if not bare or bare[-1] not in ".!?。！？।" or any(c in line for c in ";{}="):
+        return False
+    return bare[-1] in "。！？।" or len(line.split()) >= 4
+
+
 def ending(raw: str) -> tuple[str, str]:
     """How a text ends, and its last word if nothing but that word's wholeness can tell.
 
@@ -113,7 +120,7 @@ def ending(raw: str) -> tuple[str, str]:
         return "cut", ""
     lines = bare.split("\n")
     last = lines[-1]
-    if _SENTENCE_END.search(last):
+    if _ends_sentence(last):
         return "whole", ""
     if _SIGN_OFF.match(last) or (len(lines) > 1 and lines[-2].strip() == "--"):
         return "bare", ""
@@ -131,8 +138,10 @@ def ending(raw: str) -> tuple[str, str]:
     tail = word.group().lower() if word else ""
     end = bare.rstrip(_CLOSERS)
     if is_code:
-        if bare[-1] in "};)]" or last.strip() == "end" or re.match(r"^\s*(?://|#|--|\*)", last):
+        if bare[-1] in "};)]" or last.strip() == "end":
             return "whole", ""
+        if re.match(r"^\s*(?://|#|--|\*)", last):
+            return "bare", tail
         if _COMPLETE_LINE.match(last) and len(lines) > 1 and not lines[-2].strip():
             return "bare", tail
         if len(lines) > 1 and re.search(r"(?m)^\s*(?:def |class |async def )[^\n]*:\s*$", bare) or "\ndef " in bare:
