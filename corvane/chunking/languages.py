@@ -11,8 +11,6 @@ _CHAR = r"'(?:\\[^\n][^'\n]{0,8}|[^'\\\n])'"
 _BLOCK = r"/\*[\s\S]*?(?:\*/|\Z)"
 _SLASHES = r"//[^\n]*"
 _NAME = r"[A-Za-z_$][\w$]*"
-_TYPE = r"[\w$:<>,.?*&\[\] \t]+?"
-_ARGS = r"\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)"
 
 
 @dataclass(frozen=True)
@@ -21,8 +19,8 @@ class Language:
     extensions: tuple[str, ...]
     #: Comments and strings; comments are the named groups line and block.
     tokens: str
-    #: The head of a function, at the start of a line: groups name and args.
-    function: str
+    #: What stands on the line before the name of a function in its head; group var if the name stands there.
+    before: str
     #: Lines that may stand between a comment and its function.
     attribute: str = r"(?!)"
     #: The head of a type: groups kind, name and bases.
@@ -32,84 +30,95 @@ class Language:
     namespace: str = r"(?!)"
     #: The comment that documents a declaration above it.
     doc_line: str = r"//+!?"
+    #: What follows the closing bracket of a function's parameters.
+    after: str = ""
 
 
-_NOT_CALLED = r"(?!(?:if|for|foreach|while|switch|catch|using|lock|fixed|return|new|else|await|throw|yield|do|try|delete|typeof|sizeof|match|function|super|elseif|until|with|and|or|not|in|case|goto|co_await|co_return|static_assert)\b)"
+#: Words before a bracket, or before a name, that make it no head of a function.
+NOT_CALLED = frozenset(
+    "if for foreach while switch catch using lock fixed return new else await throw yield do try delete typeof sizeof match super elseif until with and or"
+    " not in case goto co_await co_return static_assert assert print".split()
+)
 
 CSHARP = Language(
     "csharp",
     (".cs",),
     rf'(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|\$?@\$?"(?:[^"]|"")*"?|\$?{_DOUBLE}|{_CHAR}',
-    rf"^[ \t]*(?:\[[^\]\n]*\][ \t]*)*(?:(?:public|private|protected|internal|static|async|override|virtual|abstract|sealed|extern|unsafe|partial|readonly|new)[ \t]+)*{_NOT_CALLED}(?:(?!\b(?:class|struct|interface|enum|record|namespace|delegate|event)\b){_TYPE}[ \t]+)??{_NOT_CALLED}(?P<name>{_NAME})(?:<[\w, ]+>)?[ \t]*{_ARGS}[^;{{}}=\n()]*(?:\n[ \t]*(?:where|:)[^;{{}}\n]*)*\s*(?:\{{|=>)",
+    r"\s*(?:\[[^\]\n]*\]\s*)*(?:[\w<>\[\],.?*]+[ \t]+)*",
     r"^[ \t]*\[",
     rf"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|new)[ \t]+)*(?P<kind>class|struct|interface|enum|record(?:[ \t]+(?:class|struct))?)[ \t]+(?P<name>{_NAME})(?:<[^>\n{{]*>)?(?:[ \t]*\([^)]*\))?\s*(?::\s*(?P<bases>[^{{;]*?))?(?:\s*where\b[^{{;]*)?\s*[{{;]",
     namespace=r"^[ \t]*namespace[ \t]+(?P<name>[\w.]+)",
+    after=r"\s*(?::\s*(?:base|this)\s*\([^{};]*)?(?:where\b[^{};]*)?\s*(?:\{|=>)",
 )
 CPP = Language(
     "cpp",
     (".cpp", ".cc", ".h", ".hpp", ".cxx"),
     rf'(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|R"(?P<raw>[^()\s\\]{{0,16}})\([\s\S]*?\)(?P=raw)"|{_DOUBLE}|{_CHAR}',
-    rf"^[ \t]*(?:template[ \t]*<[^\n]*>[ \t]*)?(?:(?:static|inline|virtual|explicit|constexpr|friend|extern|const|unsigned|signed)[ \t]+)*{_NOT_CALLED}(?:(?!\b(?:class|struct|enum|union|namespace|using|typedef)\b){_TYPE}[ \t*&]+)??{_NOT_CALLED}(?P<name>(?:{_NAME}::)*~?{_NAME}|operator[^\s(]+)[ \t]*{_ARGS}(?:[ \t]*(?:const|noexcept|override|final|->[^{{;\n]*|:[^;{{\n]*(?:\{{[^{{}}\n]*\}}[^;{{\n]*)*))*\s*\{{",
+    r"\s*(?:template\s*<[^\n]*>\s*)?(?:[\w:<>,*&\[\]]+[ \t*&]+)*",
     r"^[ \t]*(?:\[\[|template\b)",
     rf"^[ \t]*(?:template[ \t]*<[^\n]*>[ \t]*)?(?P<kind>class|struct|enum(?:[ \t]+(?:class|struct))?|union)[ \t]+(?:\w+[ \t]+)?(?P<name>{_NAME})(?:[ \t]+final)?\s*(?::\s*(?P<bases>[^{{;]*?))?\s*\{{",
     namespace=r"^[ \t]*namespace[ \t]+(?P<name>[\w:]+)\s*\{",
+    after=r"(?:\s*(?:const|noexcept|override|final)\b)*\s*(?:->[^{;\n]*)?\s*(?:\{|:\s*\w)",
 )
 PYTHON = Language(
     "python",
     (".py",),
     r'(?P<line>\#[^\n]*)|(?P<block>(?<![\w)\]"\'])[rRuUbBfF]{0,2}(?:"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)))|' + f"{_DOUBLE}|{_SINGLE}",
-    rf"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?{_ARGS}[^:\n]*:",
+    r"\s*(?:async[ \t]+)?def[ \t]+",
     r"^[ \t]*@",
     r"^[ \t]*(?P<kind>class)[ \t]+(?P<name>\w+)(?:\[[^\]\n]*\])?[ \t]*(?:\((?P<bases>[^()]*(?:\([^()]*\)[^()]*)*)\))?[ \t]*:",
     nesting="indent",
     doc_line=r"#+",
+    after=r"\s*(?:->[^\n]*)?:",
 )
 _SCRIPT_TOKENS = rf"(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|{_DOUBLE}|{_SINGLE}|`(?:\\.|[^`\\])*`?"
-_SCRIPT_FUNCTION = (
-    rf"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)[ \t]+)*\*?[ \t]*"
-    rf"(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<fname>{_NAME})|(?:const|let|var)[ \t]+(?P<vname>{_NAME})(?:[ \t]*:[^=\n]+)?[ \t]*=[ \t]*(?:async[ \t]*)?(?:function\b[ \t]*\w*)?(?=[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)[^;\n=]*(?:=>|\{{))|{_NOT_CALLED}(?P<mname>\#?{_NAME}))"
-    rf"(?:<[^>\n]*>)?[ \t]*{_ARGS}(?:[ \t]*:[^;={{\n]+)?\s*(?:=>|\{{)"
-)
+_SCRIPT_BEFORE = r"\s*(?:export[ \t]+)?(?:default[ \t]+)?(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set|declare)[ \t]+)*\*?[ \t]*(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*|(?:const|let|var)[ \t]+(?P<var>[\w$]+)[^=\n]{0,80}=[ \t]*(?:async[ \t]*)?(?:function[ \t]*)?)?"
+_SCRIPT_AFTER = r"\s*(?::[^=;{\n]*)?\s*(?:=>|\{)"
 JAVASCRIPT = Language(
     "javascript",
     (".js", ".jsx", ".mjs", ".cjs"),
     _SCRIPT_TOKENS,
-    _SCRIPT_FUNCTION,
+    _SCRIPT_BEFORE,
     r"^[ \t]*@\w",
     rf"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?P<kind>class)[ \t]+(?P<name>{_NAME})(?:[ \t]+extends[ \t]+(?P<bases>[^{{]+?))?\s*\{{",
+    after=_SCRIPT_AFTER,
 )
 TYPESCRIPT = Language(
     "typescript",
     (".ts", ".tsx"),
     _SCRIPT_TOKENS,
-    _SCRIPT_FUNCTION,
+    _SCRIPT_BEFORE,
     r"^[ \t]*@\w",
     rf"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?(?:const[ \t]+)?(?P<kind>class|interface|enum|type)[ \t]+(?P<name>{_NAME})(?:<[^>\n{{]*>)?(?P<bases>[ \t]+(?:extends|implements)[ \t]+[^{{]+?)?\s*[{{=]",
+    after=_SCRIPT_AFTER,
 )
 LUA = Language(
     "lua",
     (".lua",),
     rf"(?P<block>--\[(?P<eq>=*)\[[\s\S]*?(?:\](?P=eq)\]|\Z))|(?P<line>--[^\n]*)|\[(?P<eq2>=*)\[[\s\S]*?(?:\](?P=eq2)\]|\Z)|{_DOUBLE}|{_SINGLE}",
-    rf"^[ \t]*(?:local[ \t]+)?(?:function[ \t]+(?P<fname>{_NAME}(?:[.:]{_NAME})*)|(?P<vname>{_NAME}(?:\.{_NAME})*)[ \t]*=[ \t]*function)[ \t]*{_ARGS}",
+    r"\s*(?:local[ \t]+)?(?:function[ \t]+|(?P<var>[\w.]+)[ \t]*=[ \t]*)",
     type_head=rf"^[ \t]*(?:local[ \t]+)?(?P<name>{_NAME}(?:\.{_NAME})*)[ \t]*=[ \t]*(?P<kind>class|Class|(?:\w+[.:])?extend)[ \t]*\((?P<bases>[^)]*)\)",
     nesting="words",
     doc_line=r"---?",
+    after=r"",
 )
 RUST = Language(
     "rust",
     (".rs",),
     rf'(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|r(?P<sharp>\#*)"[\s\S]*?"(?P=sharp)|"(?:\\[\s\S]|[^"\\])*"?|{_CHAR}',
-    rf"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+(?P<name>\w+)(?:<[^{{;(]*>)?[ \t]*{_ARGS}[^{{;]*[{{;]",
+    r"\s*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+",
     r"^[ \t]*#!?\[",
     r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?P<kind>struct|enum|trait|union|impl)\b(?:<[^>\n]*>)?[ \t]+(?:(?P<bases>[\w:<>, ]+?)[ \t]+for[ \t]+)?(?P<name>\w+)",
+    after=r"[^{;]{0,400}[{;]",
 )
 GO = Language(
     "go",
     (".go",),
     rf"(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|{_DOUBLE}|`[^`]*`?|{_CHAR}",
-    rf"^func[ \t]*(?:\([ \t]*(?:\w+[ \t]+)?\*?(?P<owner>\w+)(?:\[[^\]]*\])?[ \t]*\)[ \t]*)?(?P<name>\w+)(?:\[[^\]\n]*\])?[ \t]*{_ARGS}[^\n{{]*(?:\{{|$)",
+    r"func[ \t]*(?:\([^()\n]*\)[ \t]*)?",
     type_head=r"^[ \t]*type[ \t]+(?P<name>\w+)(?:\[[^\]\n]*\])?[ \t]+(?P<kind>struct|interface)\b",
     namespace=r"^package[ \t]+(?P<name>\w+)",
+    after=r"[^\n]*",
 )
 
 LANGUAGES = {x.name: x for x in (CSHARP, CPP, PYTHON, JAVASCRIPT, TYPESCRIPT, LUA, RUST, GO)}
@@ -124,7 +133,8 @@ def patterns(language: Language) -> dict[str, re.Pattern]:
     if made is None:
         made = _COMPILED[language.name] = {
             "tokens": re.compile(language.tokens),
-            "function": re.compile(language.function, re.M),
+            "before": re.compile(language.before),
+            "after": re.compile(language.after),
             "attribute": re.compile(language.attribute),
             "type": re.compile(language.type_head, re.M),
             "namespace": re.compile(language.namespace, re.M),
