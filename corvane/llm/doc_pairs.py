@@ -23,6 +23,7 @@ from corvane.functions.keys import normal_label, normal_path
 # What documentation that says nothing looks like.
 OWN_TYPES = ("method", "function", "constructor")
 WHOLE_TYPE = "whole_class"
+_CONSTRUCTORS = ("constructor", "ctor", "__init__", "new")
 _FILLERS = frozenset(
     "a an the this that it its of to for and or is in on with method function func procedure routine constructor ctor destructor"
     " calls call called invokes invoke runs run does do performs perform executes execute handles handle implements implementation"
@@ -93,11 +94,12 @@ def parameter_names(args: str) -> list[str]:
     return names
 
 
-def says_something(raw: str | None, name: str | None, args: str = "") -> bool:
+def says_something(raw: str | None, name: str | None, args: str = "", owner: str | None = None) -> bool:
     """Whether documentation says more than the function's name and parameters.
 
     Marks and tags aside, each line is left out that is a placeholder, pointer, tool directive, divider, licence notice
-    or code; what is left must hold a word beyond the name, the parameters and words that carry nothing.
+    or code; what is left must hold a word beyond the name, the parameters and words that carry nothing. A constructor's
+    name is that of its class, the owner, too.
     """
     if not raw or not raw.strip():
         return False
@@ -108,6 +110,9 @@ def says_something(raw: str | None, name: str | None, args: str = "") -> bool:
     for p in parameter_names(args):
         known.update(name_words(p))
         known.add(p.lower())
+    if owner and name and (name in _CONSTRUCTORS or name.removeprefix("New") == owner):
+        known.update(name_words(owner))
+        known.add("".join(name_words(owner)))
     lines, licence = [], False
     for line in doc_lines(raw):
         bare = line.strip()
@@ -224,7 +229,7 @@ def assign(weights: dict[tuple[int, int], int]) -> dict[int, int]:
     return {f: c for c, f in taken.items()}
 
 
-def documented_functions(text: str, path: str | None) -> list[tuple[str, str, str]]:
+def documented_functions(text: str, path: str | None, owner: str | None = None) -> list[tuple[str, str, str]]:
     """name, documentation and code head of each function of a text that has telling documentation."""
     language = language_of(path)
     if language is None or not text:
@@ -241,7 +246,7 @@ def documented_functions(text: str, path: str | None) -> list[tuple[str, str, st
         lines = {head, function.head_end, *range(head + 1, function.line + 1)}
         for c in {c for line in lines for c in near.get(line, ())}:
             w = _weight(scanned.comments[c], function, head, scanned)
-            if w > 0 and says_something(scanned.comments[c].text, function.name, function.args):
+            if w > 0 and says_something(scanned.comments[c].text, function.name, function.args, owner):
                 weights[f, c] = w
     chosen = assign(weights)
     out = []
@@ -252,21 +257,21 @@ def documented_functions(text: str, path: str | None) -> list[tuple[str, str, st
     return out
 
 
-def own_documentation(text: str, path: str | None, name: str | None, doc: str | None) -> str | None:
+def own_documentation(text: str, path: str | None, name: str | None, doc: str | None, owner: str | None = None) -> str | None:
     """The telling documentation of a chunk that is a function: doc_comment, or if that is blank what its source holds."""
     language = language_of(path) or LANGUAGES["csharp"]
     if doc and doc.strip():
         m = re.search(r"\b" + re.escape(name) + r"\s*(?:<[^>\n]*>)?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)", text) if name else None
-        return "\n".join(doc_lines(doc)).strip() if says_something(doc, name, m.group(1) if m else "") else None
+        return "\n".join(doc_lines(doc)).strip() if says_something(doc, name, m.group(1) if m else "", owner) else None
     scanned = Scanned(text, language)
     functions = scanned.functions()
     own = next((f for f in functions if f.name == name), functions[0] if functions else None)
     if own is None:
         lead = [c for c in scanned.comments if not any(line.strip() for line in scanned.lines[: c.first])]
-        return "\n".join(doc_lines(lead[0].text)).strip() if lead and says_something(lead[0].text, name) else None
+        return "\n".join(doc_lines(lead[0].text)).strip() if lead and says_something(lead[0].text, name, "", owner) else None
     head = scanned.first_line_of_head(own)
     for comment in scanned.comments:
-        if _weight(comment, own, head, scanned) > 0 and says_something(comment.text, name, own.args):
+        if _weight(comment, own, head, scanned) > 0 and says_something(comment.text, name, own.args, owner):
             return "\n".join(doc_lines(comment.text)).strip()
     return None
 
@@ -274,25 +279,25 @@ def own_documentation(text: str, path: str | None, name: str | None, doc: str |
 def function_doc_pairs(chunks: DataFrame, key: str = "chunk_no") -> DataFrame:
     """key, method_name, description, code: each function of chunks with documentation that says something.
 
-    chunks has chunk_type, file_path, method_name, source and doc_comment. A chunk of type method, function or
+    chunks has chunk_type, file_path, class_name, method_name, source and doc_comment. A chunk of type method, function or
     constructor is a function; one of type whole_class gives each function in its source under its bare name. Types
     compare without case and surrounding blanks; other types and null types or sources give nothing. A row that occurs
     twice gives its pairs twice; an empty table gives none; other columns are ignored.
     """
     kind = normal_label(F.col("chunk_type"))
     slim = chunks.select(
-        F.col(key).alias("__key"), kind.alias("__kind"), normal_path(F.col("file_path")).alias("__path"), F.col("method_name").alias("__name"), F.col("source").alias("__text"), F.col("doc_comment").alias("__doc")
+        F.col(key).alias("__key"), kind.alias("__kind"), normal_path(F.col("file_path")).alias("__path"), F.col("method_name").alias("__name"), F.col("source").alias("__text"), F.col("doc_comment").alias("__doc"), F.col("class_name").alias("__owner")
     ).where(F.col("__kind").isin(*OWN_TYPES, WHOLE_TYPE) & F.col("__text").isNotNull())
     schema = f"`{key}` {chunks.schema[key].dataType.simpleString()}, method_name string, description string, code string"
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, kind, path, name, text, doc in zip(*(batch[c] for c in ("__key", "__kind", "__path", "__name", "__text", "__doc"))):
+            for k, kind, path, name, text, doc, owner in zip(*(batch[c] for c in ("__key", "__kind", "__path", "__name", "__text", "__doc", "__owner"))):
                 if kind == WHOLE_TYPE:
-                    out += [(k, *found) for found in documented_functions(text, path)]
+                    out += [(k, *found) for found in documented_functions(text, path, owner)]
                 else:
-                    told = own_documentation(text, path, name, doc)
+                    told = own_documentation(text, path, name, doc, owner)
                     if told is not None:
                         out.append((k, name, told, text))
             yield pd.DataFrame(out, columns=[key, "method_name", "description", "code"])
