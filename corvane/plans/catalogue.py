@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import problems
+from corvane.plans import corpus, problems
 
-MODULES = [problems]
+MODULES = [problems, corpus]
 
 FLAGSHIP = "p3_found"
 
