@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage
+
 # What the ends of complete and of cut texts look like.
 TERMINATORS = ".!?。!?।؟…:;"
 _CLOSERS = "\"'»”’)]}`*_>」』】"
@@ -216,7 +218,7 @@ def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have lost nothing; a null source is a source of its own; rows that occur twice come out twice;
     an empty table gives no rows; other columns are ignored.
     """
-    ends = endings(documents, doc_id, text, source)
+    ends = cut_lineage(endings(documents, doc_id, text, source))  # without the texts; wanted four times below
     limits = source_limits(ends).select(F.col("source").alias("__s"), "unit", F.col("length").alias("__length"))
     unsure = ends.where("__end <> 'whole' and __end <> 'cut'")
     size = F.when(limits["unit"] == "chars", ends["__chars"]).otherwise(ends["__bytes"])
