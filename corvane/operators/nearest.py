@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, distance: str | None = None) -> DataFrame:
     """query_id, rank, key: the k vectors of least squared distance to each query, itself left out; ties by key.
 
+    If distance names a column, the squared distance comes out under that name.
+
     Each batch gives its own k best of each query, so only those are shuffled. Null vectors are left out.
     """
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("__q"), F.col(vector).alias("__v"))
@@ -44,6 +46,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
 
         found.append(rows.mapInPandas(best, f"query_id {kind}, `{key}` {kind}, __d double"))
     if not found:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}")
+        return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}" + (f", `{distance}` double" if distance else ""))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("__d", 9), key))
-    return reduce(DataFrame.unionByName, found).select("query_id", rank.alias("rank"), key).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).select("query_id", rank.alias("rank"), key, *([F.col("__d").alias(distance)] if distance else [])).where(F.col("rank") <= k)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import corpus, problems
+from corvane.plans import corpus, graphs, problems
 
-MODULES = [problems, corpus]
+MODULES = [problems, corpus, graphs]
 
 FLAGSHIP = "p3_found"
 
