@@ -1,8 +1,8 @@
 """Files that nobody in the project wrote by hand: generated, minified, vendored, or data stored as code.
 
 An inverted index from line hashes to files carries the search for vendored copies. Files that say by folder or header
-that they came from elsewhere are the seeds; each rare line of a seed gets one home, the least seed that holds it. A
-file is then compared with the homes of its own lines only: the largest number of its rare lines found in one home,
+that they came from elsewhere are the seeds. Files with the same lines are one content and count once; each rare line
+of a seed gets one home, the least seed content that holds it. A content is then compared with the homes of its own lines only: the largest number of its rare lines found in one home,
 over all its rare lines, is an exact containment in that file. This is linear in the lines: no pairs of files are made.
 What remains is judged by its composition, from sums over lines that Spark makes before anything is shuffled.
 """
@@ -31,10 +31,10 @@ VENDOR_LINES = (
 )
 
 #: A line counts in the index if it is this long without surrounding blanks and holds a word; it is rare if at most
-#: this share of all files holds it.
+#: this share of all distinct contents of files holds it.
 LEAST_LINE = 16
 RARE_SHARE = 0.02
-#: With few files a share means nothing: a line in so many files at most is rare as well.
+#: With few contents a share means nothing: a line in so many at most is rare as well.
 RARE_FILES = 20
 
 #: A file is a copy if at least this share of its rare lines stands in one seed, and so many of them.
@@ -100,32 +100,42 @@ def own_evidence(files: DataFrame) -> DataFrame:
 
 
 def vendored_copies(lines: DataFrame, judged: DataFrame) -> DataFrame:
-    """repo, file_path, containment of files whose rare lines stand in a vendored file, by the index of line hashes."""
-    indexed = (
+    """repo, file_path, containment of files whose rare lines stand in a vendored file, by the index of line hashes.
+
+    Files with the same set of lines are one content, however often it was copied; a line is counted over contents, and
+    each content stands for all its files. A content of a vendored file is a copy as a whole, whether its lines are rare
+    or not.
+    """
+    files = (
         lines.where((F.length("__line") >= LEAST_LINE) & F.col("__line").rlike("[A-Za-z_]{3}"))
-        .select("repo", "file_path", F.xxhash64("__line").alias("__hash"))
-        .distinct()
+        .groupBy("repo", "file_path")
+        .agg(F.sort_array(F.collect_set(F.xxhash64("__line"))).alias("__lines"))
     )
     seeds = judged.where("reason = 'vendored'").select("repo", "file_path", F.lit(True).alias("__seed"))
-    n_files = judged.agg(F.count(F.lit(1)).alias("__n")).scalar()
-    most = F.greatest(F.ceil(n_files * RARE_SHARE), F.lit(RARE_FILES))
-    posted = indexed.join(seeds, [indexed.repo.eqNullSafe(seeds.repo), indexed.file_path == seeds.file_path], "left").select(
-        indexed.repo, indexed.file_path, "__hash", "__seed"
+    members = cut_lineage(
+        files.join(seeds, [files.repo.eqNullSafe(seeds.repo), files.file_path == seeds.file_path], "left").select(
+            files.repo, files.file_path, "__seed", F.xxhash64("__lines").alias("__content"), "__lines"
+        )
     )
-    me = F.struct(F.coalesce("repo", F.lit("")).alias("repo"), "file_path")
+    contents = members.groupBy("__content").agg(F.max("__seed").alias("__seed"), F.first("__lines").alias("__lines"))
+    n_contents = members.agg(F.count_distinct("__content").alias("__n")).scalar()
+    most = F.greatest(F.ceil(n_contents * RARE_SHARE), F.lit(RARE_FILES))
+    posted = contents.select("__content", "__seed", F.explode("__lines").alias("__hash"))
     index = (
         posted.groupBy("__hash")
-        .agg(F.count(F.lit(1)).alias("__files"), F.min(F.when(F.col("__seed"), me)).alias("__home"))
-        .where(F.col("__files") <= most)
+        .agg(F.count(F.lit(1)).alias("__held"), F.min(F.when(F.col("__seed"), F.col("__content"))).alias("__home"))
+        .where(F.col("__held") <= most)
         .select("__hash", "__home")
     )
-    hits = posted.where("__seed is null").join(index, "__hash").groupBy("repo", "file_path", "__home").agg(F.count(F.lit(1)).alias("__shared"))
-    return (
-        hits.groupBy("repo", "file_path")
+    hits = posted.where("__seed is null").join(index, "__hash").groupBy("__content", "__home").agg(F.count(F.lit(1)).alias("__shared"))
+    partly = (
+        hits.groupBy("__content")
         .agg(F.sum("__shared").alias("__all"), F.max(F.when(F.col("__home").isNotNull(), F.col("__shared"))).alias("__best"))
         .where((F.col("__best") >= LEAST_SHARED) & (F.col("__best") >= CONTAINMENT * F.col("__all")))
-        .select("repo", "file_path", (F.col("__best") / F.col("__all")).alias("containment"))
+        .select("__content", (F.col("__best") / F.col("__all")).alias("containment"))
     )
+    whole = contents.where(F.col("__seed") & (F.size("__lines") >= LEAST_SHARED)).select("__content", F.lit(1.0).alias("containment"))
+    return members.where("__seed is null").join(partly.unionByName(whole), "__content").select("repo", "file_path", "containment")
 
 
 def foreign_files(chunks: DataFrame) -> DataFrame:

@@ -42,6 +42,18 @@ def test_foreign_files(spark):
     assert handwritten.foreign_files(spark.createDataFrame([], FILES)).count() == 0
 
 
+def copies(spark, rows):
+    found = handwritten.foreign_files(spark.createDataFrame([("r", path, "\n".join(text), "") for path, text in rows], FILES))
+    return {r.file_path: round(r.containment, 3) for r in found.collect() if r.reason == "copy"}
+
+
+def test_a_seed_copied_into_many_files_is_found(spark):
+    lib, common = body(10), body(11, 6)
+    rows = [("third_party/lib.py", lib), ("src/edited.py", lib[:20] + body(12, 5)), ("vendor/common.py", common), ("src/same.py", common)]
+    rows += [(f"src/m{i}/lib.py", lib) for i in range(40)] + [(f"src/own{i}.py", common + body(100 + i)) for i in range(40)]
+    assert copies(spark, rows) == {"src/edited.py": 0.8, "src/same.py": 1.0} | {f"src/m{i}/lib.py": 1.0 for i in range(40)}
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "raw, name, args, says",
