@@ -2,8 +2,9 @@
 
 An inverted index from line hashes to files carries the search for vendored copies. Files that say by folder or header
 that they came from elsewhere are the seeds. Files with the same lines are one content and count once; each rare line
-of a seed gets one home, the least seed content that holds it. A content is then compared with the homes of its own lines only: the largest number of its rare lines found in one home,
-over all its rare lines, is an exact containment in that file. This is linear in the lines: no pairs of files are made.
+is posted to all seed contents that hold it. A content is compared with the seeds of its own lines only: the largest
+number of its rare lines found in one seed, over all its rare lines, is its containment, and it is exact. Lines with the
+same seeds are counted together first, so a content meets each such set of seeds once, not once a line.
 What remains is judged by its composition, from sums over lines that Spark makes before anything is shuffled.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.keys import normal_path
+from corvane.operators.skew import salted_join
 from corvane.session import cut_lineage
 
 # Endings of code files, folders and names of generated and vendored files, and what their headers say.
@@ -121,16 +123,20 @@ def vendored_copies(lines: DataFrame, judged: DataFrame) -> DataFrame:
     n_contents = members.agg(F.count_distinct("__content").alias("__n")).scalar()
     most = F.greatest(F.ceil(n_contents * RARE_SHARE), F.lit(RARE_FILES))
     posted = contents.select("__content", "__seed", F.explode("__lines").alias("__hash"))
-    index = (
-        posted.groupBy("__hash")
-        .agg(F.count(F.lit(1)).alias("__held"), F.min(F.when(F.col("__seed"), F.col("__content"))).alias("__home"))
-        .where(F.col("__held") <= most)
-        .select("__hash", "__home")
+    seed_set = F.sort_array(F.collect_list(F.when(F.col("__seed"), F.col("__content"))))
+    rare = posted.groupBy("__hash").agg(F.count(F.lit(1)).alias("__held"), seed_set.alias("__seeds")).where(F.col("__held") <= most)
+    index = cut_lineage(rare.select("__hash", F.when(F.size("__seeds") > 0, F.xxhash64("__seeds")).alias("__set"), "__seeds"))
+    sets = index.where("__set is not null").groupBy("__set").agg(F.first("__seeds").alias("__seeds"))
+    hits = cut_lineage(
+        posted.where("__seed is null").join(index.select("__hash", "__set"), "__hash").groupBy("__content", "__set").agg(F.count(F.lit(1)).alias("__n"))
     )
-    hits = posted.where("__seed is null").join(index, "__hash").groupBy("__content", "__home").agg(F.count(F.lit(1)).alias("__shared"))
+    in_set = hits.where("__set is not null")
+    in_seed = salted_join(in_set, sets, ["__set"], F.col("__content")).select("__content", "__n", F.explode("__seeds").alias("__of"))
+    best = in_seed.groupBy("__content", "__of").agg(F.sum("__n").alias("__shared")).groupBy("__content").agg(F.max("__shared").alias("__best"))
     partly = (
         hits.groupBy("__content")
-        .agg(F.sum("__shared").alias("__all"), F.max(F.when(F.col("__home").isNotNull(), F.col("__shared"))).alias("__best"))
+        .agg(F.sum("__n").alias("__all"))
+        .join(best, "__content")
         .where((F.col("__best") >= LEAST_SHARED) & (F.col("__best") >= CONTAINMENT * F.col("__all")))
         .select("__content", (F.col("__best") / F.col("__all")).alias("containment"))
     )

@@ -54,6 +54,12 @@ def test_a_seed_copied_into_many_files_is_found(spark):
     assert copies(spark, rows) == {"src/edited.py": 0.8, "src/same.py": 1.0} | {f"src/m{i}/lib.py": 1.0 for i in range(40)}
 
 
+def test_containment_in_one_of_several_versions(spark):
+    lib, others = body(20, 20), body(21, 40)
+    rows = [("vendor/a1/x.py", lib[:8] + others[:9]), ("vendor/a2/x.py", lib[8:15] + others[9:30]), ("vendor/b/x.py", lib), ("src/x.py", lib + others[38:])]
+    assert copies(spark, rows) == {"src/x.py": 0.909}
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "raw, name, args, says",
