@@ -41,9 +41,15 @@ LEAST_AT_LIMIT = 5
 EXPECTED = 8
 NEARBY = 32
 
-#: A last word is whole if so many texts hold it elsewhere.
+#: A last word is whole if at least so many distinct texts hold it inside for each that ends with it.
 KNOWN_WORD = 3
 
+#: The last word of a text, also before the marks and broken characters of a cut (in Java's syntax, in linear time).
+_LAST_WORD = (
+    r"(?<!\p{L})(\p{L}++)(?:\s*+(?:\.\.\.|…|(?i:\[(?:cut|truncated|snip(?:ped)?|clipped)\]|<(?:cut|truncated|snip)>|\(truncated\))|�|\\u[0-9a-fA-F]{0,3}"
+    r"|\\x[0-9a-fA-F]?|\\|&(?:[a-zA-Z]{1,6}|#x?[0-9a-fA-F]{0,6})|%[0-9a-fA-F]?|\x{200D}))*+\s*+\z"
+)
+
 
 def open_at_end(text: str, is_code: bool) -> str:
     """What a text leaves open, as the stack of the automaton at its end ('' if nothing).
@@ -200,14 +206,22 @@ def source_limits(ends: DataFrame) -> DataFrame:
     )
 
 
-def known_tails(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
-    """__tail: the last words that stand elsewhere than at the end in at least KNOWN_WORD texts."""
+def tail_counts(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
+    """__tail, __inside, __at_end: in how many distinct texts the last words that are asked for stand inside and at the end."""
     asked = ends.where("__end <> 'whole' and __end <> 'cut' and __tail <> ''").select("__tail").distinct()
-    spaced = F.regexp_replace(F.regexp_replace(text, r"\p{L}+\z", ""), r"(\p{Ll})(\p{Lu})", "$1 $2")
-    words = documents.where(F.length(text) > 0).select(
-        F.explode(F.array_distinct(F.split(F.lower(spaced), r"[^\p{L}]+"))).alias("__tail")
-    )
-    return words.join(asked, "__tail", "left_semi").groupBy("__tail").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= KNOWN_WORD).select("__tail", F.lit(True).alias("__known"))
+    spaced = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
+    inside = F.array_distinct(F.split(F.lower(F.regexp_replace(spaced, _LAST_WORD, "")), r"[^\p{L}]+"))
+    last = F.array(F.lower(F.regexp_extract(spaced, _LAST_WORD, 1)))
+    tagged = lambda words, at_end: F.transform(words, lambda w: F.struct(w.alias("__tail"), F.lit(at_end).alias("__last")))
+    words = documents.where(F.length(text) > 0).select(F.xxhash64(text).alias("__text"), F.explode(F.concat(tagged(inside, False), tagged(last, True))).alias("__w"))
+    once = words.select("__text", "__w.*").join(asked, "__tail", "left_semi").distinct()
+    return once.groupBy("__tail").agg(F.count_if(~F.col("__last")).alias("__inside"), F.count_if("__last").alias("__at_end"))
+
+
+def known_tails(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
+    """__tail: the last words that stand inside texts at least KNOWN_WORD times as often as at the end."""
+    whole = F.col("__inside") >= KNOWN_WORD * F.greatest("__at_end", F.lit(1))
+    return tail_counts(documents, ends, text).where(whole).select("__tail", F.lit(True).alias("__known"))
 
 
 def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

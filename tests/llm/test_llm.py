@@ -170,6 +170,14 @@ def test_truncated(spark):
     assert truncation.truncated(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_before_the_marks_of_cuts_are_not_known(spark):
+    marks = [" [cut]", "...", "…", "\ufffd", " (truncated)", "&am", "\\u00"]
+    texts = [f"Crane {i} is what the transfor{m}" for i, m in enumerate(marks)] + [f"The oldest crane {i} lifts the tray." for i in range(7)]
+    texts += ["# The tray and how to transfor", "# The tray below an oldest crane"] + ["A transfor of crane stands inside."] * 20
+    docs = spark.createDataFrame([(i, t, "s", "") for i, t in enumerate(texts)], DOCS)
+    assert {r["__tail"] for r in truncation.known_tails(docs, truncation.endings(docs)).collect()} == {"crane"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert differences(spark, f"{DATA}/sf0.001", QUERIES[name], ORACLE[name]) == ""
