@@ -36,7 +36,7 @@ _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 _SIGN_OFF = re.compile(r"^\s*(?:(?:see|see also|vgl|ref)\b:?\s+\S+|build \d+|regards,?|thanks,?|cheers,?|\(end\))\s*$", re.I)
 _TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
 
-#: A length is a limit of a source if this many of its texts have it, beyond EXPECTED times those of a usual length nearby.
+#: A length is a limit of a source if this many of its distinct texts have it, beyond EXPECTED times those of a usual length nearby.
 LEAST_AT_LIMIT = 5
 EXPECTED = 8
 NEARBY = 32
@@ -194,8 +194,8 @@ def endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", so
 
 
 def source_limits(ends: DataFrame) -> DataFrame:
-    """source, unit (chars or bytes), length, n: the lengths at which a source's texts pile up, from all its texts."""
-    sizes = ends.select("__source", F.explode(F.create_map(F.lit("chars"), F.col("__chars"), F.lit("bytes"), F.col("__bytes"))).alias("unit", "length"))
+    """source, unit (chars or bytes), length, n: the lengths at which a source's texts pile up; copies of a text count once."""
+    sizes = ends.select("__source", "__hash", "__chars", "__bytes").distinct().select("__source", F.explode(F.create_map(F.lit("chars"), F.col("__chars"), F.lit("bytes"), F.col("__bytes"))).alias("unit", "length"))
     counts = sizes.groupBy("__source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     near = W.partitionBy("__source", "unit").orderBy("length").rangeBetween(-NEARBY, NEARBY)
     usual = (F.sum("n").over(near) - F.col("n")) / (2 * NEARBY)

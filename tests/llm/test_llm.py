@@ -178,6 +178,13 @@ def test_words_before_the_marks_of_cuts_are_not_known(spark):
     assert {r["__tail"] for r in truncation.known_tails(docs, truncation.endings(docs)).collect()} == {"crane"}
 
 
+def test_limits_come_from_distinct_texts(spark):
+    texts = [("copied", "- one complete item of a list")] * 9 + [("limited", "The complete text of a licence.")] * 4000 + [("limited", f"- item {i:03d} that lost its last wor") for i in range(40)]
+    docs = spark.createDataFrame([(i, t, s, "") for i, (s, t) in enumerate(texts)], DOCS)
+    limits = truncation.source_limits(truncation.endings(docs)).where("unit = 'chars'").collect()
+    assert [(r.source, r.length, r.n) for r in limits] == [("limited", 33, 40)]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert differences(spark, f"{DATA}/sf0.001", QUERIES[name], ORACLE[name]) == ""
