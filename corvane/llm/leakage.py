@@ -219,9 +219,9 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_leaks(
-    documents: DataFrame, passages: DataFrame, longest: int = PASSAGE_WORDS, coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, passages: DataFrame, coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, text, removed_words: the leaking documents without their spans of at least `longest` words.
+    """doc_id, text, removed_words: the leaking documents without their spans, those of short items included.
 
     A document of which the spans cover more than `coverage` of the words keeps nothing (text is empty). Documents
     without passages are left out: they stay as they are. passages are those of leaked_passages.
@@ -234,7 +234,7 @@ def remove_leaks(
         for batch in batches:
             out = []
             for doc, body, found in zip(batch[doc_id], batch[text], batch["__spans"]):
-                spans = [(s["first_word"], s["n_words"]) for s in found if s["n_words"] >= longest]
+                spans = [(s["first_word"], s["n_words"]) for s in found]
                 covered = len({w for first, n in spans for w in range(first, first + n)})
                 total = len(words_of(body))
                 out.append((doc, "" if covered > coverage * total else _without(body, spans), covered))

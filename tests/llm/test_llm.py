@@ -141,6 +141,13 @@ def test_leaks_against_brute_force(spark):
     assert {(x.item_id, x.doc_id) for x in leakage.leaks(found).collect()} == want
 
 
+def test_short_items_are_removed(spark):
+    items = spark.createDataFrame([(1, "Count the empty trays"), (2, "b")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(10, "First: count the empty trays, then go home by the old road."), (11, "Count the empty TRAYS!")], "doc_id bigint, text string")
+    made = leakage.remove_leaks(docs, leakage.leaked_passages(docs, items)).collect()
+    assert {r.doc_id: (r.text, r.removed_words) for r in made} == {10: ("First: , then go home by the old road.", 4), 11: ("", 4)}
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text, end",
