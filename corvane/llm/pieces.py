@@ -2,7 +2,7 @@
 
 The ends of a text's tokens are the prefix sums of their lengths; those where a paragraph, line, sentence or word ends
 make sorted arrays of boundaries. The end of a piece is found by binary search for the last boundary under the limit,
-the strongest kind first; the next piece starts at a boundary about the overlap before that end. Where there is no
+the strongest kind first; the next piece starts at the first boundary that leaves no more than the overlap. Where there is no
 boundary, the cut is made at the limit.
 """
 
@@ -67,8 +67,9 @@ def split_offsets(text: str, most: int, overlap: int) -> list[tuple[int, int, st
     """start, end and kind of start of each piece of text; a text within the limit is one piece.
 
     Every piece has at most `most` characters; each but the first starts at most `overlap` characters before the end of
-    the one before, at a boundary not much later if there is one, else exactly there. overlap must leave room for new
-    text and is cut down to half of `most`.
+    the one before, at the first boundary of any kind from there on (the strongest kind of those at one offset), or
+    exactly there if none follows within half of the overlap. So it repeats the overlap but for the rest of one token and
+    blanks, and never less than half. overlap must leave room for new text and is cut down to half of `most`.
     """
     if most < 1:
         raise ValueError("a piece needs room for one character at least")
@@ -95,8 +96,9 @@ def split_offsets(text: str, most: int, overlap: int) -> list[tuple[int, int, st
             kind = next((name for name, k in zip(KINDS, kinds) if _first(k, end, end) is not None), KINDS[-1])
             start = end
             continue
-        near = [(s, name) for name, k in zip(KINDS, kinds) if (s := _first(k, back, end - overlap // 2)) is not None]
-        start, kind = near[0] if near else (back, KINDS[-1])
+        near = [(s, i) for i, k in enumerate(kinds) if (s := _first(k, back, end - overlap // 2)) is not None]
+        start, i = min(near, default=(back, len(kinds)))
+        kind = KINDS[i]
 
 
 def with_limits(chunks: DataFrame, limits: DataFrame, chunk_type: str = "chunk_type") -> DataFrame:

@@ -107,6 +107,14 @@ def test_pieces_give_back_the_text():
             assert end - min(overlap, most // 2) <= start <= end < after
 
 
+def test_pieces_repeat_nearly_the_overlap():
+    r = random.Random(5)
+    text = "".join("x" * r.randrange(1, 10) + r.choice([" ", " ", "\n", ". ", ".\n\n"]) for _ in range(4000))
+    made = pieces.split_offsets(text, 2000, 400)
+    assert len(made) > 8 and {kind for _, _, kind in made} <= set(pieces.KINDS[:-1])
+    assert all(400 - 12 <= end - start <= 400 for (_, end, _), (start, _, _) in zip(made, made[1:]))
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 def test_ids_are_those_of_the_library(spark):
     import tiktoken
