@@ -1,7 +1,8 @@
 """Texts that lost their end at a field limit or in transfer.
 
-A stack automaton reads each text once and tells what is still open at its end: brackets, quotes, code fences, markup,
-block comments; and whether a character, an escape or a word broke off. Whether a missing terminator means anything is
+A stack automaton reads each text once and tells what is still open at its end: brackets, quotes, markup, block
+comments. In prose, brackets and quotes count from the last paragraph only, and a closing sentence overrules them and
+fences, but not a tag or a comment of code around it. Code fences are counted. It also tells whether a character, an escape or a word broke off. Whether a missing terminator means anything is
 a matter of the source: lengths at which a source's texts pile up are its limits, counted over all documents, and a text
 that ends there without a terminator was cut. Words that are only ever seen at the end of texts are broken words.
 """
@@ -32,6 +33,9 @@ _COMPLETE_LINE = re.compile(
 _CODE_HINT = re.compile(r"[;{}]\s*$|^\s*(?:def|class|function|local|return|import|from|using|namespace|package|func|fn|pub|public|private|protected|export|const|let|var|if|for|while|end|else|elif|try|except|type|struct|impl|#include|self\.|this\.|@|//|#|--)\b|^\s*[\w.:\[\]\"']+\s*(?::=|=)\s|^\s*[\w.:]+\(.*\)\s*;?$")
 _PYTHON_END = re.compile(r"^\s*(?:return\b|raise\b|pass\b|yield\b|break\b|continue\b|[\w.\[\]\"']+\s*(?:[-+*/|&]?=)\s*\S|[\w.]+\(.*\)|\"\"\"|''')")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:\s[^<>]*|/)?)(?:(>)|\Z)")
+_CLOSED_TAGS = frozenset("a b i u em strong code pre div span ul ol table tr td th h1 h2 h3 h4 h5 h6 summary remarks details section article body html head".split())
+_BLOCK_TAGS = frozenset(f"<{x}" for x in "pre div ul ol table tr summary remarks details section article body html".split())
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 _SIGN_OFF = re.compile(r"^\s*(?:(?:see|see also|vgl|ref)\b:?\s+\S+|build \d+|regards,?|thanks,?|cheers,?|\(end\))\s*$", re.I)
 _TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
@@ -51,13 +55,14 @@ _LAST_WORD = (
 )
 
 
-def open_at_end(text: str, is_code: bool) -> str:
-    """What a text leaves open, as the stack of the automaton at its end ('' if nothing).
+def openers(text: str, is_code: bool) -> list[tuple[str, int]]:
+    """What a text leaves open, as the stack of the automaton at its end, with the offset of each opener.
 
-    In code, strings end with their line and comments hold no brackets; in prose apostrophes are letters. A closing
-    bracket without an opening one is ignored, and one that closes an outer bracket closes those inside as well.
+    In code, strings end with their line and comments hold no brackets; in prose apostrophes are letters, and tags and
+    typographic quotes open and close. A closer without an opener is ignored, and one that closes an outer opener
+    closes those inside as well.
     """
-    stack: list[str] = []
+    stack: list[tuple[str, int]] = []
     i, n = 0, len(text)
     while i < n:
         char = text[i]
@@ -65,33 +70,52 @@ def open_at_end(text: str, is_code: bool) -> str:
             if text.startswith(char * 3, i) and char != "`":
                 end = text.find(char * 3, i + 3)
                 if end < 0:
-                    return "".join(stack) + '"""'
+                    return [*stack, ('"""', i)]
                 i = end + 3
                 continue
             j = i + 1
             while j < n and text[j] != char and (text[j] != "\n" or char == "`"):
                 j += 2 if text[j] == "\\" else 1
             if j >= n and char != "'":
-                return "".join(stack) + char
+                return [*stack, (char, i)]
             i = j + 1 if j < n and text[j] == char and (char != "'" or j - i < 200) else i + 1
             continue
         if is_code and text.startswith("/*", i):
             end = text.find("*/", i + 2)
             if end < 0:
-                return "".join(stack) + "/*"
+                return [*stack, ("/*", i)]
             i = end + 2
             continue
         if is_code and (text.startswith(("//", "--"), i) or (char == "#" and (i == 0 or text[i - 1] in " \t\n"))):
             end = text.find("\n", i)
             i = n if end < 0 else end
             continue
-        if char in "([{":
-            stack.append(char)
-        elif char in _PAIRS and _PAIRS[char] in stack:
-            while stack.pop() != _PAIRS[char]:
-                pass
+        if not is_code and char == "<" and (tag := _TAG.match(text, i)):
+            name = f"<{tag[2].lower()}"
+            if tag[4] is None:
+                return [*stack, (name, i)]
+            if tag[1]:
+                _close(stack, name)
+            elif not tag[3].endswith("/") and tag[2].lower() in _CLOSED_TAGS:
+                stack.append((name, i))
+            i = tag.end()
+            continue
+        if char in "([{" or not is_code and char in "«“":
+            stack.append((char, i))
+        elif char in _PAIRS:
+            _close(stack, _PAIRS[char])
+        elif not is_code and char in "»”":
+            _close(stack, "«" if char == "»" else "“")
         i += 1
-    return "".join(stack)
+    return stack
+
+
+def _close(stack: list[tuple[str, int]], opener: str) -> None:
+    """Takes the last such opener and all inside it off the stack, if there is one."""
+    for at in range(len(stack) - 1, -1, -1):
+        if stack[at][0] == opener:
+            del stack[at:]
+            return
 
 
 def _is_code(lines: list[str]) -> bool:
@@ -119,7 +143,7 @@ def ending(raw: str) -> tuple[str, str]:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     bare = text.rstrip()
     if len(bare) < 24:
-        return "whole", ""
+        return ("whole" if len(bare) < 2 or bare[-1] in TERMINATORS else "bare"), ""
     if _WHOLE_WORD_MARK.search(raw):
         return "cut", ""
     if _CONTINUED.search(raw):
@@ -128,19 +152,20 @@ def ending(raw: str) -> tuple[str, str]:
         return "cut", ""
     lines = bare.split("\n")
     last = lines[-1]
-    if _ends_sentence(last):
-        return "whole", ""
-    if _SIGN_OFF.match(last) or (len(lines) > 1 and lines[-2].strip() == "--"):
-        return "bare", ""
     fences = list(_FENCE.finditer(bare))
-    in_fence = len(fences) % 2 == 1
-    if in_fence:
-        return "cut", ""
     block = bare[fences[-1].end() :] if fences else bare
     body = [x for x in block.split("\n") if x.strip()]
-    is_code = _is_code(body[-40:]) and not fences
-    left = open_at_end(bare, True) if is_code else open_at_end(bare[bare.rfind("\n\n") + 1 :], False)
-    if left:
+    is_code = (_is_code(body) or _is_code(body[-40:])) and not fences
+    left = openers(bare, is_code)
+    paragraph = bare.rfind("\n\n") + 1
+    here = [what for what, at in left if is_code or at >= paragraph or what in _BLOCK_TAGS]
+    if _ends_sentence(last):
+        # Stray openers before closing prose are common; a comment of code or a tag around the end is no such case.
+        inside = any(what in ("/*", '"""') for what in here) or bool(here) and re.match(r"^\s*(?://|#|--|\*)", last) if is_code else any(what[0] == "<" for what in here)
+        return ("cut" if inside else "whole"), ""
+    if _SIGN_OFF.match(last) or (len(lines) > 1 and lines[-2].strip() == "--"):
+        return "bare", ""
+    if len(fences) % 2 == 1 or here:
         return "cut", ""
     word = _TAIL_WORD.search(text)
     tail = word.group().lower() if word else ""

@@ -200,6 +200,19 @@ def test_limits_come_from_distinct_texts(spark):
     assert [(r.source, r.length, r.n) for r in limits] == [("limited", 33, 40)]
 
 
+@pytest.mark.parametrize(
+    "text, end",
+    [
+        ("class A {\n    int x = 3;\n    void Go() {\n        x = 4;\n    }\n    /* Keeps the oldest row of each tray.", "cut"),
+        ("class A {\n    int x = 3;\n    // Keeps the oldest row.", "cut"), ("class A {\n    int x = 3;\n}\n// Keeps the oldest row.", "whole"),
+        ("<ul><li>The first tray moves.</li>\n\n<li>Then the second tray moves.", "cut"), ("The tray moves as <b title=\"le", "cut"),
+        ("The tray (of the lease.\n\nThe second tray moves to the shift.", "whole"), ("- says “the second tray here", "cut"), ("Tray 3 to the le", "bare"),
+    ],
+)
+def test_ending_inside_of_something_open(text, end):
+    assert truncation.ending(text)[0] == end
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert differences(spark, f"{DATA}/sf0.001", QUERIES[name], ORACLE[name]) == ""
