@@ -23,6 +23,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
     return counts.where(F.col("__n") > part).select(*keys, F.ceil(F.col("__n") / part).cast("int").alias("__salts"))
 
 
+def salts_of(counts: DataFrame, keys: Sequence[str], total: int, share: int = HOT_SHARE) -> DataFrame:
+    """hot_keys from rows that are already counted: counts has keys and __n, which add up to total at most."""
+    part = max(total // share, 1)
+    return counts.where(F.col("__n") > part).select(*keys, F.ceil(F.col("__n") / part).cast("int").alias("__salts"))
+
+
 def salt_rows(df: DataFrame, hot: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
     """df with __salt: 0, or for hot keys a number under __salts that follows the hash of `by`."""
     return (
@@ -45,6 +51,11 @@ def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], by: Column, how: str = "inner", share: int = HOT_SHARE
 ) -> DataFrame:
     """left join right on keys, with hot keys of left spread over several tasks; how is inner, left, left_semi or left_anti."""
-    hot = hot_keys(left, keys, share)
-    joined = salt_rows(left, hot, keys, by).join(replicate_rows(right, hot, keys), [*keys, "__salt"], how)
-    return joined.drop("__salt")
+    return join_around(hot_keys(left, keys, share), left, right, keys, by, how)
+
+
+def join_around(hot: DataFrame | None, left: DataFrame, right: DataFrame, keys: Sequence[str], by: Column, how: str = "inner") -> DataFrame:
+    """salted_join with the hot keys given; None for no hot keys."""
+    if hot is None:
+        return left.join(right, list(keys), how)
+    return salt_rows(left, hot, keys, by).join(replicate_rows(right, hot, keys), [*keys, "__salt"], how).drop("__salt")

@@ -20,6 +20,7 @@ def get_session(app: str = "corvane", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -28,12 +29,17 @@ def get_session(app: str = "corvane", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one only where none is set, as in tests."""
+    """Use the shared folder the cluster names; fall back to a temporary one only on a local master, as in tests.
+
+    Elsewhere a missing setting is an error: executors would write to their own disks and lose what they wrote.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corvane-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
 
