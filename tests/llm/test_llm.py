@@ -60,6 +60,17 @@ def test_containment_in_one_of_several_versions(spark):
     assert copies(spark, rows) == {"src/x.py": 0.909}
 
 
+def test_undeclared_copies_in_two_repositories(spark):
+    libs = [body(200 + i, 40) for i in range(5)]
+    edit = lambda lib, r: [x for x in lib if r.random() > 0.1] + body(r.randrange(10**6), 3)
+    r = random.Random(1)
+    rows = [(repo, f"src/{repo}{i}_{k}.py", "\n".join(edit(lib, r)), "") for i, lib in enumerate(libs) for repo in "ab" for k in range(1 + 15 * (i == 0))]
+    rows += [(repo, f"own/{i}.py", "\n".join(body(300 + i) + body(7, 3)), "") for i in range(40) for repo in [None if i % 9 == 0 else "abc"[i % 3]]]
+    found = handwritten.foreign_files(spark.createDataFrame(rows, FILES)).collect()
+    assert {(x.repo, x.file_path) for x in found} == {(a, b) for a, b, *_ in rows if b.startswith("src")}
+    assert all(x.reason == "copy" and x.containment > 0.5 for x in found)
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "raw, name, args, says",
