@@ -41,6 +41,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from their pieces, one row for each version of a chunk."""
+    chunks = read_table(spark, folder, "code_chunk").select(F.struct("chunk_no", F.md5("source").alias("h")).alias("version"), "source", "chunk_type")
+    named = chunks.withColumn("version", F.to_json("version"))
+    made = pieces.rebuilt(pieces.split_oversized(named, read_table(spark, folder, "chunk_limit"), "version", keep_limit=True), key="version")
+    return made.select(F.get_json_object("version", "$.chunk_no").cast("bigint").alias("chunk_no"), "n_chars", "text_hash", "fits")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, folder, "documents"))
 
@@ -77,6 +85,7 @@ QUERIES = {
     "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_rebuilt": p4_rebuilt,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
@@ -85,11 +94,14 @@ QUERIES = {
     "p8_report": p8_report,
 }
 
-ORACLE = {
-    "p4_found": """
+_OVER = """
 WITH one AS (SELECT lower(trim(chunk_type, ' ' || chr(9) || chr(10) || chr(13))) AS t, min(max_chars) AS most FROM chunk_limit GROUP BY 1)
-SELECT DISTINCT chunk_no FROM code_chunk c LEFT JOIN one ON one.t = lower(trim(c.chunk_type, ' ' || chr(9) || chr(10) || chr(13)))
-WHERE length(source) > coalesce(most, (SELECT most FROM one WHERE t = '*'))""",
+SELECT DISTINCT {} FROM code_chunk c LEFT JOIN one ON one.t = lower(trim(c.chunk_type, ' ' || chr(9) || chr(10) || chr(13)))
+WHERE length(source) > coalesce(most, (SELECT most FROM one WHERE t = '*'))"""
+
+ORACLE = {
+    "p4_found": _OVER.format("chunk_no"),
+    "p4_rebuilt": _OVER.format("chunk_no, length(source) AS n_chars, md5(source) AS text_hash, true AS fits"),
 }
 
 

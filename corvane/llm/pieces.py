@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.keys import normal_label
@@ -69,11 +70,10 @@ def split_offsets(text: str, most: int, overlap: int) -> list[tuple[int, int, st
     Every piece has at most `most` characters; each but the first starts at most `overlap` characters before the end of
     the one before, at the first boundary of any kind from there on (the strongest kind of those at one offset), or
     exactly there if none follows within half of the overlap. So it repeats the overlap but for the rest of one token and
-    blanks, and never less than half. overlap must leave room for new text and is cut down to half of `most`.
+    blanks, and never less than half. An overlap that leaves no room for new text is an error.
     """
-    if most < 1:
-        raise ValueError("a piece needs room for one character at least")
-    overlap = max(0, min(overlap, most // 2))
+    if not 0 <= overlap < most:
+        raise ValueError(f"pieces of {most} characters can't repeat {overlap}")
     n = len(text)
     if n <= most:
         return [(0, n, KINDS[0])]
@@ -104,10 +104,11 @@ def split_offsets(text: str, most: int, overlap: int) -> list[tuple[int, int, st
 def with_limits(chunks: DataFrame, limits: DataFrame, chunk_type: str = "chunk_type") -> DataFrame:
     """chunks with __most and __overlap of their type, of `*` for null and unlisted types; null where `*` isn't listed.
 
-    Types compare without case and surrounding blanks; of several rows for a type the one of least max_chars counts.
+    Types compare without case and surrounding blanks; of several rows for a type the one of least max_chars counts. Rows
+    without max_chars are no limits; a null overlap is none.
     The limits are a small table keyed by type; Spark broadcasts them if they are under its own size limit.
     """
-    one = limits.groupBy(normal_label(F.col("chunk_type")).alias("__type")).agg(
+    one = limits.where("max_chars is not null").groupBy(normal_label(F.col("chunk_type")).alias("__type")).agg(
         F.min(F.struct("max_chars", "overlap_chars")).alias("__limit")
     )
     star = one.where(F.col("__type") == ANY).agg(F.first("__limit").alias("__limit")).scalar()
@@ -122,25 +123,42 @@ def with_limits(chunks: DataFrame, limits: DataFrame, chunk_type: str = "chunk_t
 
 
 def split_oversized(
-    chunks: DataFrame, limits: DataFrame, key: str = "chunk_no", text: str = "source", chunk_type: str = "chunk_type"
+    chunks: DataFrame, limits: DataFrame, key: str = "chunk_no", text: str = "source", chunk_type: str = "chunk_type", keep_limit: bool = False
 ) -> DataFrame:
-    """key, piece_no, start_at, end_at, start_kind, piece: the pieces of every row whose text is over its limit.
+    """key, piece_no, start_at, end_at, start_kind, piece (and __most, if keep_limit): the pieces of every row whose text is over its limit.
 
     Offsets count code points from 0. Rows within their limit, with null text or without a limit give nothing; a row
-    that occurs twice gives its pieces twice; an empty table gives none. piece_no counts from 0 within a row.
+    that occurs twice gives its pieces twice; an empty table gives none. piece_no counts from 0 within a row. A limit
+    with an overlap that isn't below it fails the query, if a text is over that limit.
     """
     kind = chunks.schema[key].dataType.simpleString()
     slim = chunks.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(chunk_type).alias("__chunk_type"))
     over = with_limits(slim, limits, "__chunk_type").where(F.length("__text") > F.col("__most")).select("__key", "__text", "__most", "__overlap")
-    schema = f"`{key}` {kind}, piece_no int, start_at int, end_at int, start_kind string, piece string"
+    schema = f"`{key}` {kind}, piece_no int, start_at int, end_at int, start_kind string, piece string" + (", __most int" if keep_limit else "")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, body, most, overlap in zip(batch["__key"], batch["__text"], batch["__most"], batch["__overlap"]):
                 made = split_offsets(body, int(most), int(overlap))
                 starts, ends, kinds = zip(*made)
-                yield pd.DataFrame(
+                pieces = pd.DataFrame(
                     {key: pd.Series([name] * len(made), dtype=batch["__key"].dtype), "piece_no": range(len(made)), "start_at": starts, "end_at": ends, "start_kind": kinds, "piece": [body[s:e] for s, e, _ in made]}
                 )
+                yield pieces.assign(__most=int(most)) if keep_limit else pieces
 
     return over.mapInPandas(cut, schema)
+
+
+def rebuilt(pieces: DataFrame, limits_kept: str = "__most", key: str = "chunk_no") -> DataFrame:
+    """key, n_pieces, n_chars, text_hash (md5), fits: the texts put together again from their pieces, without the overlaps.
+
+    pieces are those of split_oversized with the limit of each row; fits tells whether no piece is over it. Rows that
+    occur twice count once. A text's pieces hold little more than the text, so no group is larger than a row of the source.
+    """
+    once = pieces.distinct()
+    after = F.lag("end_at", default=0).over(W.partitionBy(key).orderBy("piece_no"))
+    new = once.withColumn("__new", F.substr("piece", after - F.col("start_at") + 1))
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", "__new")))
+    return new.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.max("end_at").cast("bigint").alias("n_chars"), F.md5(F.concat_ws("", F.transform(parts, lambda x: x["__new"]))).alias("text_hash"), F.bool_and(F.length("piece") <= F.col(limits_kept)).alias("fits")
+    )

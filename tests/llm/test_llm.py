@@ -111,11 +111,15 @@ def test_pieces_give_back_the_text():
     r = random.Random(4)
     for _ in range(300):
         text = "".join(r.choice("ab. \n\n\r\té。😀{};") for _ in range(r.randrange(400)))
-        most, overlap = r.randrange(1, 60), r.randrange(0, 40)
+        most = r.randrange(1, 60)
+        overlap = r.randrange(most)
         made = pieces.split_offsets(text, most, overlap)
         assert made[0][0] == 0 and made[-1][1] == len(text) and all(e - s <= most for s, e, _ in made)
         for (_, end, _), (start, after, _) in zip(made, made[1:]):
-            assert end - min(overlap, most // 2) <= start <= end < after
+            assert end - overlap <= start <= end - overlap // 2 and end < after
+    for most, overlap in ((0, 0), (5, 5), (5, 6), (5, -1)):
+        with pytest.raises(ValueError):
+            pieces.split_offsets("some text", most, overlap)
 
 
 def test_pieces_repeat_nearly_the_overlap():
