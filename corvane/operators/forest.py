@@ -54,21 +54,27 @@ def parent_links(
     return both.where("__is").select("__tree", "__node", F.nullif(F.coalesce("__stated", "__lister"), F.lit("0")).alias("__parent"))
 
 
-def _double(state: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
-    """The finished parts of state after all rounds, and what never finishes.
+def _double(core: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
+    """The finished parts of the pointers after all rounds, and what never finishes.
 
-    Before each round one aggregation tells how many pointers are left and which targets hold so many of them that
-    their rows are to be cut into parts.
+    A node that no pointer aims at is never aimed at again, for its pointer's new aim is an aim of this round. So the
+    core, which holds the aims of each round, shrinks with the height of the nodes, and only the core is joined with.
+    The count of pointers for each aim also tells how many are left and which aims are so hot that their rows are to be
+    cut into parts.
     """
-    done, left = [state.where("__done")], state.where("not __done")
-    keys, before = ["__tree", "__up"], None
+    keys, done, rest, before = ["__tree", "__up"], [], core.where("false"), None
     while True:
-        aimed = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        left = core.where("not __done").unionByName(rest)
+        aimed = cut_lineage(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
         n_left, most = aimed.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
         if n_left in (0, before):
-            return done, left
+            return [*done, core.where("__done")], left
         hot = salts_of(aimed, keys, n_left) if most > max(n_left // HOT_SHARE, 1) else None
-        ahead = reduce(DataFrame.unionByName, [*done, left]).select(
+        flags = aimed.select("__tree", F.col("__up").alias("__node"), F.lit(True).alias("__aimed"))
+        split = cut_lineage(core.join(flags, ["__tree", "__node"], "left").withColumn("__aimed", F.coalesce("__aimed", F.lit(False))))
+        targets = split.where("__aimed")
+        done.append(split.where("__done and not __aimed").drop("__aimed"))
+        ahead = targets.select(
             "__tree",
             F.col("__node").alias("__up"),
             F.col("__up").alias("__far"),
@@ -76,17 +82,21 @@ def _double(state: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
             F.col("__done").alias("__ended"),
             *([F.col("__path").alias("__above")] if paths else []),
         )
-        joined = join_around(hot, left, ahead, keys, F.col("__node")).select(
-            "__tree",
-            "__node",
-            F.col("__far").alias("__up"),
-            (F.col("__steps") + F.col("__more")).alias("__steps"),
-            F.col("__ended").alias("__done"),
-            *([F.concat("__above", "__path").alias("__path")] if paths else []),
+        going = split.where("not __done").unionByName(rest.withColumn("__aimed", F.lit(False)))
+        joined = cut_lineage(
+            join_around(hot, going, ahead, keys, F.col("__node")).select(
+                "__tree",
+                "__node",
+                F.col("__far").alias("__up"),
+                (F.col("__steps") + F.col("__more")).alias("__steps"),
+                F.col("__ended").alias("__done"),
+                *([F.concat("__above", "__path").alias("__path")] if paths else []),
+                "__aimed",
+            )
         )
-        state = cut_lineage(joined)
-        done.append(state.where("__done"))
-        left, before = state.where("not __done"), n_left
+        core = targets.where("__done").unionByName(joined.where("__aimed")).drop("__aimed")
+        done.append(joined.where("__done and not __aimed").drop("__aimed"))
+        rest, before = joined.where("not __done and not __aimed").drop("__aimed"), n_left
 
 
 def resolve_forest(links: DataFrame, paths: bool = True) -> DataFrame:
