@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared checkpoint folder; it is deleted when the driver's JVM ends."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from its files, so a lost executor costs no recomputation.
+
+    A table rather than checkpoint(), as Spark plans with the true sizes of its files: what checkpoint() carries on are
+    estimates, and over the rounds of an iteration the products of joins grow beyond what the driver can hold.
+    """
+    folder = shared_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import CHECKPOINT_DIR, ensure_checkpoint_dir
+from corvane.session import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
@@ -28,19 +26,12 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and state below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Run an aggregating stream over all there is; its latest row for each of keys.
 
     Each batch is written under its number, so a batch that is repeated after a failure replaces itself.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     out = f"{folder}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -55,6 +46,6 @@ def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 def drain_rows(stream: DataFrame) -> DataFrame:
     """Run a stream that only appends over all there is; its rows."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
