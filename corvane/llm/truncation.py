@@ -1,10 +1,12 @@
 """Texts that lost their end at a field limit or in transfer.
 
-A stack automaton reads each text once and tells what is still open at its end: brackets, quotes, markup, block
-comments. In prose, brackets and quotes count from the last paragraph only, and a closing sentence overrules them and
-fences, but not a tag or a comment of code around it. Code fences are counted. It also tells whether a character, an escape or a word broke off. Whether a missing terminator means anything is
-a matter of the source: lengths at which a source's texts pile up are its limits, counted over all documents, and a text
-that ends there without a terminator was cut. Words that are only ever seen at the end of texts are broken words.
+A stack automaton reads each whole text, once, and tells what is still open at its end: brackets, quotes, code spans,
+fences, markup, block comments and strings. In prose, what a paragraph or list item leaves open ends with it; in code,
+the layout tells which openers are strays: a bracket isn't open at a line that stands further left than its own. Broken
+multibyte sequences, escapes and marks of a cut end a text as well. Whether a missing terminator means anything is a
+matter of the source, over all its distinct texts: lengths at which they pile up are its limits, and a sentence without
+its terminator was cut only where the source ends most of them. Where nothing else decides, a last word that texts hold
+at their ends rather than inside is a broken one.
 """
 
 from __future__ import annotations
@@ -18,36 +20,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.skew import salted_join
 from corvane.session import cut_lineage
 
-# What the ends of complete and of cut texts look like.
-TERMINATORS = ".!?。!?।؟…:;"
+# Terminators of sentences and what may follow them; marks that a cut leaves; beginnings of entities.
+TERMINATORS = ".!?。！？।؟"
 _CLOSERS = "\"'»”’)]}`*_>」』】"
-_BROKEN = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&(?:[a-zA-Z]{1,6}|#x?[0-9a-fA-F]{0,6})|%[0-9a-fA-F]?|[\ud800-\udbff]|‍)\s*$")
-_WHOLE_WORD_MARK = re.compile(r"(?:\[(?:cut|truncated|snip(?:ped)?|clipped)\]|<(?:cut|truncated|snip)>|\(truncated\))\s*$", re.I)
+_MARK = re.compile(r"(?:\[(?:cut|truncated|snip(?:ped)?|clipped)\]|<(?:cut|truncated|snip)>|\(truncated\))\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.\.|…)\s*$")
-_CONTINUED = re.compile(r"(?:^|\n|[.!?。]\s)\s*(?:to be continued|continued|more to follow|more to come|wird fortgesetzt|à suivre|continuará|продолжение следует)\s*(?:\.\.\.|…)\s*$", re.I)
-_COMPLETE_LINE = re.compile(
-    r"^\s*(?:\|.*\||(?:see|see also|vgl|ref)\b:?\s+\S+|build \d+|regards,?|thanks,?|cheers,?|-{3,}|={3,}|\*{3,}|```|~~~|<\|\w+\|>|https?://\S+|[-*+] .*|\w[\w .-]{0,20}:\s*\S*|\[\w+\]:?.*)\s*$", re.I
-)
+_ENTITIES = ("amp;", "quot;", "apos;", "nbsp;")
+_ESCAPE_START = re.compile(r"(?<![\\:])\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|)$")
+_ENTITY_START = re.compile(r"&(?:([a-z]{2,5})|#x?[0-9a-fA-F]*)$")
+_PERCENT_START = re.compile(r"%[0-9a-fA-F]{2}\S*%[0-9a-fA-F]?$")
+_INVISIBLE = dict.fromkeys([0x200B, 0x2060, 0x00AD, 0xFEFF])
+
+# What a line of code looks like, and lines of prose that need no terminator (by their form, not their words).
 _CODE_HINT = re.compile(r"[;{}]\s*$|^\s*(?:def|class|function|local|return|import|from|using|namespace|package|func|fn|pub|public|private|protected|export|const|let|var|if|for|while|end|else|elif|try|except|type|struct|impl|#include|self\.|this\.|@|//|#|--)\b|^\s*[\w.:\[\]\"']+\s*(?::=|=)\s|^\s*[\w.:]+\(.*\)\s*;?$")
+_COMMENT_LINE = re.compile(r"^\s*(?://|#|--|\*|/\*)")
 _PYTHON_END = re.compile(r"^\s*(?:return\b|raise\b|pass\b|yield\b|break\b|continue\b|[\w.\[\]\"']+\s*(?:[-+*/|&]?=)\s*\S|[\w.]+\(.*\)|\"\"\"|''')")
-_PAIRS = {")": "(", "]": "[", "}": "{"}
+_PYTHON_BLOCK = re.compile(r"(?m)^\s*(?:def |class |async def )[^\n]*:\s*$|\ndef ")
+_COMPLETE_LINE = re.compile(r"^\s*(?:\|.*\||-{3,}|={3,}|\*{3,}|<\|\w+\|>|https?://\S+|[-*+] .*|\w[\w .-]{0,20}:\s*\S*|\[\w+\]:?.*)\s*$")
+_TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
+_LONG_ITEM = re.compile(r"^\s*(?:[-*+]|\d+\.)\s+(?:\S+\s+){4,}\S*$")
+_NAMED_ITEM = re.compile(r"^\s*[-*+] `[^`]*`:")
+_FIELD = re.compile(r"^\s+[\w$]+:\s+\S+$|^\s*[\w$]+:\s*\S*$")
+_TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
+
+_PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:\s[^<>]*|/)?)(?:(>)|\Z)")
 _CLOSED_TAGS = frozenset("a b i u em strong code pre div span ul ol table tr td th h1 h2 h3 h4 h5 h6 summary remarks details section article body html head".split())
-_BLOCK_TAGS = frozenset(f"<{x}" for x in "pre div ul ol table tr summary remarks details section article body html".split())
-_FENCE = re.compile(r"^\s*(```|~~~)", re.M)
-_SIGN_OFF = re.compile(r"^\s*(?:(?:see|see also|vgl|ref)\b:?\s+\S+|build \d+|regards,?|thanks,?|cheers,?|\(end\))\s*$", re.I)
-_TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
+_BLOCKS = frozenset(f"<{x}" for x in "pre div ul ol table tr summary remarks details section article body html".split()) | {"```", "<!--"}
+_PROSE_TOKEN = re.compile(r"(?m)(?P<fence>^[ \t>]*(?:`{3,4}|~{3,4})(?![`~]))|(?P<gap>\n[ \t\r>]*\n|\n[ \t>]*(?:[-*+]|\d+[.)]|#{1,6})[ \t])|(?P<note><!--)|(?P<tag></?[a-zA-Z])|[(\[{«“)\]}»”`\"]")
+_FENCE_END = re.compile(r"(?m)^[ \t>]*(?:`{3,4}|~{3,4})(?![`~])")
+_CODE_TOKEN = re.compile(r"\"\"\"|'''|[\"'`()\[\]{}]|/\*|(?<!\S)--\[=*\[|(?<!:)//|(?<!\S)--(?=[\s-]|\Z)|(?<!\S)#")
+_STRING = re.compile(r'"(?:\\.|[^"\\\n])*("?)')
+_SINGLE = re.compile(r"'(?:\\.|[^'\\\n])*('?)")
 
 #: A length is a limit of a source if this many of its distinct texts have it, beyond EXPECTED times those of a usual length nearby.
 LEAST_AT_LIMIT = 5
 EXPECTED = 8
 NEARBY = 32
 
-#: A last word is whole if at least so many distinct texts hold it inside for each that ends with it.
+#: A last word is whole if so many distinct texts hold it inside for each that ends with it.
 KNOWN_WORD = 3
 
+#: A missing terminator tells of a cut in sources where at most this share of the texts off their limits lacks it.
+USUAL_UNENDED = 0.5
+
+#: So many last words in doubt are broadcast, a few megabytes; more meet the words of the texts in a shuffle.
+BROADCAST_TAILS = 100_000
+
 #: The last word of a text, also before the marks and broken characters of a cut (in Java's syntax, in linear time).
 _LAST_WORD = (
     r"(?<!\p{L})(\p{L}++)(?:\s*+(?:\.\.\.|…|(?i:\[(?:cut|truncated|snip(?:ped)?|clipped)\]|<(?:cut|truncated|snip)>|\(truncated\))|�|\\u[0-9a-fA-F]{0,3}"
@@ -55,147 +77,190 @@ _LAST_WORD = (
 )
 
 
-def openers(text: str, is_code: bool) -> list[tuple[str, int]]:
-    """What a text leaves open, as the stack of the automaton at its end, with the offset of each opener.
+def _close(stack: list[tuple[str, int, int]], opener: str, indent: int | None = None) -> None:
+    """Takes the last such opener, or the last at that indent, and all inside it off the stack, if there is one."""
+    same = [at for at, x in enumerate(stack) if x[0] == opener]
+    if same:
+        level = [at for at in same if stack[at][2] == indent] if indent is not None else []
+        del stack[(level or same)[-1] :]
+
 
-    In code, strings end with their line and comments hold no brackets; in prose apostrophes are letters, and tags and
-    typographic quotes open and close. A closer without an opener is ignored, and one that closes an outer opener
-    closes those inside as well.
+def _indent(text: str, at: int) -> tuple[int, bool]:
+    """How far the line of that offset is indented, and whether the offset is at its first solid character."""
+    lead = text[text.rfind("\n", 0, at) + 1 : at]
+    blanks = lead[: len(lead) - len(lead.lstrip())]
+    return len(blanks.expandtabs(4)), blanks == lead
+
+
+def open_in_code(text: str) -> list[tuple[str, int, int]]:
+    """The automaton's stack at the end of code: what is open, at which offset, and the indent of that line.
+
+    Strings end with their line, but for those of three quotes and backticks; comments hold no brackets. A closer at the
+    beginning of a line closes the opener of the same indent, if there is one, and all inside it.
     """
-    stack: list[tuple[str, int]] = []
-    i, n = 0, len(text)
-    while i < n:
-        char = text[i]
-        if is_code and char in "\"'`":
-            if text.startswith(char * 3, i) and char != "`":
-                end = text.find(char * 3, i + 3)
-                if end < 0:
-                    return [*stack, ('"""', i)]
-                i = end + 3
-                continue
-            j = i + 1
-            while j < n and text[j] != char and (text[j] != "\n" or char == "`"):
-                j += 2 if text[j] == "\\" else 1
-            if j >= n and char != "'":
-                return [*stack, (char, i)]
-            i = j + 1 if j < n and text[j] == char and (char != "'" or j - i < 200) else i + 1
-            continue
-        if is_code and text.startswith("/*", i):
-            end = text.find("*/", i + 2)
+    stack: list[tuple[str, int, int]] = []
+    at, n = 0, len(text)
+    while m := _CODE_TOKEN.search(text, at):
+        token, i, at = m.group(), m.start(), m.end()
+        if token in ('"""', "'''", "`", "/*") or token[:3] == "--[":
+            end = text.find({"/*": "*/"}.get(token, token) if token[:3] != "--[" else token[2:].replace("[", "]"), at)
             if end < 0:
-                return [*stack, ("/*", i)]
-            i = end + 2
-            continue
-        if is_code and (text.startswith(("//", "--"), i) or (char == "#" and (i == 0 or text[i - 1] in " \t\n"))):
-            end = text.find("\n", i)
-            i = n if end < 0 else end
-            continue
-        if not is_code and char == "<" and (tag := _TAG.match(text, i)):
+                return [*stack, (token, i, 0)]
+            at = end + len(token) - (2 if token[:3] == "--[" else 0)
+        elif token in "\"'":
+            found = (_STRING if token == '"' else _SINGLE).match(text, i)
+            if found.group(1):
+                at = found.end()
+            elif found.end() == n and (token == '"' or text[i - 1 : i] in (" ", "(", ",", "=", "[", "{", ":")):
+                return [*stack, (token, i, 0)]
+        elif token in "([{":
+            stack.append((token, i, _indent(text, i)[0]))
+        elif token in ")]}":
+            indent, first = _indent(text, i)
+            _close(stack, _PAIRS[token], indent if first else None)
+        else:
+            at = text.find("\n", at)
+            if at < 0:
+                break
+    if not stack:
+        return stack
+    last_line = text.rstrip()
+    end = last_line.rfind("\n") + 1
+    indent = len(text[end : len(last_line)]) - len(text[end : len(last_line)].lstrip())
+    indent = len(text[end : end + indent].expandtabs(4))
+    closes = text[end:].lstrip()[:1] in tuple(")]}") or text[end:].strip() == "end"
+    within = lambda what, level: indent > level or indent == level and what == "{" and not closes
+    return [x for x in stack if x[1] >= end or within(x[0], x[2])]
+
+
+def open_in_prose(text: str) -> list[tuple[str, int, int]]:
+    """The automaton's stack at the end of prose, as open_in_code gives it.
+
+    Apostrophes are letters. Blank lines, list items and headings end what is open inside a paragraph, but for blocks.
+    A fence is skipped to its end; without one, all that follows is inside it.
+    """
+    stack: list[tuple[str, int, int]] = []
+    at = 0
+    while m := _PROSE_TOKEN.search(text, at):
+        token, i, at, kind = m.group(), m.start(), m.end(), m.lastgroup
+        if kind == "fence":
+            line = text.find("\n", at)
+            found = _FENCE_END.search(text, line) if line >= 0 else None
+            if found is None:
+                return [*stack, ("```", i, 0)]
+            line = text.find("\n", found.end())
+            at = len(text) if line < 0 else line
+        elif kind == "gap":
+            stack = [x for x in stack if x[0] in _BLOCKS]
+            at -= token.count("\n") > 1  # the line end may also begin the next token
+        elif kind == "note":
+            end = text.find("-->", at)
+            if end < 0:
+                return [*stack, ("<!--", i, 0)]
+            at = end + 3
+        elif kind == "tag":
+            tag = _TAG.match(text, i)
+            if tag is None:
+                continue
             name = f"<{tag[2].lower()}"
             if tag[4] is None:
-                return [*stack, (name, i)]
+                return [*stack, (name, i, 0)]
             if tag[1]:
                 _close(stack, name)
             elif not tag[3].endswith("/") and tag[2].lower() in _CLOSED_TAGS:
-                stack.append((name, i))
-            i = tag.end()
-            continue
-        if char in "([{" or not is_code and char in "«“":
-            stack.append((char, i))
-        elif char in _PAIRS:
-            _close(stack, _PAIRS[char])
-        elif not is_code and char in "»”":
-            _close(stack, "«" if char == "»" else "“")
-        i += 1
+                stack.append((name, i, 0))
+            at = tag.end()
+        elif token in "`\"":
+            if any(x[0] == token for x in stack):
+                _close(stack, token)
+            elif token == "`" or (not text[i - 1 : i].strip() or text[i - 1] in "([{") and text[at : at + 1].strip():
+                stack.append((token, i, 0))
+        elif token in "([{«“":
+            stack.append((token, i, 0))
+        else:
+            _close(stack, _PAIRS[token])
     return stack
 
 
-def _close(stack: list[tuple[str, int]], opener: str) -> None:
-    """Takes the last such opener and all inside it off the stack, if there is one."""
-    for at in range(len(stack) - 1, -1, -1):
-        if stack[at][0] == opener:
-            del stack[at:]
-            return
-
-
-def _is_code(lines: list[str]) -> bool:
+def is_code(lines: list[str]) -> bool:
+    """Whether more than half of the lines that aren't blank look like code."""
     solid = [x for x in lines if x.strip()]
     return bool(solid) and sum(bool(_CODE_HINT.search(x)) for x in solid) * 2 > len(solid)
 
 
-def _ends_sentence(line: str) -> bool:
-    """Whether a line is prose that ends with its terminator."""
-    bare = line.rstrip(_CLOSERS + " ")
-    if not bare or bare[-1] not in ".!?。！？।" or any(c in line for c in ";{}="):
+def _broken(text: str) -> bool:
+    """Whether a text ends inside a multibyte sequence, an escape or an entity.
+
+    A lone backslash counts only if its word holds no other (a path does), an entity only if it begins like one of the
+    common ones, a per cent sign only after another coded byte of its word.
+    """
+    end = text.rstrip()
+    if not end:
         return False
-    return bare[-1] in "。！？।" or len(line.split()) >= 4
+    if end[-1] in "\ufffd\u200d" or "\ud800" <= end[-1] <= "\udbff":
+        return True
+    word = re.split(r"\s", end[-80:])[-1]
+    if (m := _ESCAPE_START.search(word)) and "\\" not in word[: m.start()]:
+        return True
+    if m := _ENTITY_START.search(word):
+        return m[1] is None or any(e.startswith(m[1]) for e in _ENTITIES)
+    return bool(_PERCENT_START.search(word))
 
 
 def ending(raw: str) -> tuple[str, str]:
-    """How a text ends, and its last word if nothing but that word's wholeness can tell.
+    """How a text ends, and its last word if that word's wholeness may tell more.
 
-    The first is `whole`, `cut` (certain by structure or mark), `unended` (a sentence or statement without its
-    terminator) or `bare` (a list item, heading or short line, which needs no terminator).
+    The first is `broken` (inside a character or escape), `mark` (a mark of a cut), `open` (something is open), `dots`,
+    `whole`, `unended` (a sentence or statement without its terminator) or `bare` (a line that needs no terminator).
     """
-    if _BROKEN.search(raw):
-        return "cut", ""
-    text = unicodedata.normalize("NFKC", raw).replace("​", "").replace("⁠", "").replace("­", "").replace("﻿", "")
+    text = unicodedata.normalize("NFKC", raw.translate(_INVISIBLE)) if not raw.isascii() else raw
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    bare = text.rstrip()
-    if len(bare) < 24:
-        return ("whole" if len(bare) < 2 or bare[-1] in TERMINATORS else "bare"), ""
-    if _WHOLE_WORD_MARK.search(raw):
-        return "cut", ""
-    if _CONTINUED.search(raw):
-        return "whole", ""
-    elif _DOTS.search(raw):
-        return "cut", ""
+    if _broken(raw):
+        return "broken", ""
+    marked = _MARK.search(text)
+    dots = _DOTS.search(text)
+    bare = text[: (marked or dots).start()].rstrip() if marked or dots else text.rstrip()
     lines = bare.split("\n")
-    last = lines[-1]
-    fences = list(_FENCE.finditer(bare))
-    block = bare[fences[-1].end() :] if fences else bare
-    body = [x for x in block.split("\n") if x.strip()]
-    is_code = (_is_code(body) or _is_code(body[-40:])) and not fences
-    left = openers(bare, is_code)
-    paragraph = bare.rfind("\n\n") + 1
-    here = [what for what, at in left if is_code or at >= paragraph or what in _BLOCK_TAGS]
-    if _ends_sentence(last):
-        # Stray openers before closing prose are common; a comment of code or a tag around the end is no such case.
-        inside = any(what in ("/*", '"""') for what in here) or bool(here) and re.match(r"^\s*(?://|#|--|\*)", last) if is_code else any(what[0] == "<" for what in here)
-        return ("cut" if inside else "whole"), ""
-    if _SIGN_OFF.match(last) or (len(lines) > 1 and lines[-2].strip() == "--"):
-        return "bare", ""
-    if len(fences) % 2 == 1 or here:
-        return "cut", ""
-    word = _TAIL_WORD.search(text)
+    last, code = lines[-1], is_code(lines)
+    left = open_in_code(bare) if code else open_in_prose(bare)
+    closed = bare[-1:] != "" and bare.rstrip(_CLOSERS)[-1:] in tuple(TERMINATORS) and not dots
+    word = _TAIL_WORD.search(bare if dots else text)
     tail = word.group().lower() if word else ""
-    end = bare.rstrip(_CLOSERS)
-    if is_code:
-        if bare[-1] in "};)]" or last.strip() == "end":
+    if marked:
+        return "mark", ""
+    if left and code and closed and bare[-1] in TERMINATORS and not _COMMENT_LINE.match(last) and all(x[0] in "([{" for x in left):
+        return "bare", ""  # an excerpt of code that was closed with a full stop
+    if left and not code and (closed or _TABLE_ROW.match(last)):
+        left = [x for x in left if x[0][0] == "<" or x[0] == "```"]  # a sentence was closed around a stray opener
+    if left and (not dots or bare):
+        return "open", ""
+    if len(bare) < 2:
+        return "whole", ""
+    if dots:
+        return "dots", tail
+    if len(lines) > 1 and lines[-2].strip() == "--":
+        return "bare", ""
+    if closed and (not code or bare[-1] in TERMINATORS):
+        return "whole", ""
+    if code:
+        if bare[-1] in "};)]" or last.strip() == "end" or _TABLE_ROW.match(last):
             return "whole", ""
-        if re.match(r"^\s*(?://|#|--|\*)", last):
+        if _COMMENT_LINE.match(last) or len(last.split()) <= 3 and len(lines) > 1 and not lines[-2].strip():
             return "bare", tail
         if _COMPLETE_LINE.match(last) and len(lines) > 1 and not lines[-2].strip():
             return "bare", tail
-        if len(lines) > 1 and re.search(r"(?m)^\s*(?:def |class |async def )[^\n]*:\s*$", bare) or "\ndef " in bare:
+        if _PYTHON_BLOCK.search(bare):
             return ("bare", tail) if _PYTHON_END.match(last) else ("unended", tail)
         if bare[-1] in ",=+-*/&|<([{.:" or text[-1] != "\n":
             return "unended", tail
         return "bare", tail
-    if end and (end[-1] in TERMINATORS[:-2] or (end != bare and end[-1] in ".!?")):
+    if bare[-1] in "|}>" or re.match(r"^\s*(?:```|~~~)", last):
         return "whole", ""
-    if bare[-1] in "|`}>" or (fences and not block.strip()):
-        return "whole", ""
-    if text[-1] != "\n" and re.match(r"^\s*(?:#+\s|[-*+] `[^`]*`:)", last):
+    if text[-1] != "\n" and (re.match(r"^\s*#+\s", last) or _NAMED_ITEM.match(last)):
         return "unended", tail
     if _COMPLETE_LINE.match(last):
-        sentence = re.match(r"^\s*(?:[-*+]|\d+\.)\s+(?:\S+\s+){4,}\S*$", last) and not re.match(r"^\s*[-*+] `[^`]*`:", last)
-        return ("unended", tail) if sentence else ("bare", tail)
-    if re.match(r"^\s*[-*+] `?[^`\n]*$", last) and last.count("`") % 2:
-        return "cut", ""
-    if re.match(r"^\s*#+\s", last) or len(last.split()) <= 3 and not re.search(r"[^\x00-ɏ]", last):
-        return "bare", tail
-    if re.match(r"^\s+[\w$]+:\s+\S+$|^\s*[\w$]+:\s*\S*$", last):
+        return ("unended", tail) if _LONG_ITEM.match(last) and not _NAMED_ITEM.match(last) else ("bare", tail)
+    if re.match(r"^\s*#+\s", last) or len(last.split()) <= 3 and not re.search(r"[^\x00-ɏ]", last) or _FIELD.match(last):
         return "bare", tail
     return "unended", tail
 
@@ -231,54 +296,71 @@ def source_limits(ends: DataFrame) -> DataFrame:
     )
 
 
+def source_baseline(ends: DataFrame) -> DataFrame:
+    """source, n_ended, n_unended, usual: of the distinct texts of a source off its limits, how many end and how many lack
+    their terminator, and whether lacking it is usual there."""
+    once = ends.where("not __limit and __end in ('whole', 'unended')").select("__source", "__hash", "__end").distinct()
+    counts = once.groupBy(F.col("__source").alias("source")).agg(F.count_if(F.col("__end") == "whole").alias("n_ended"), F.count_if(F.col("__end") == "unended").alias("n_unended"))
+    return counts.withColumn("usual", F.col("n_unended") > USUAL_UNENDED * (F.col("n_ended") + F.col("n_unended")))
+
+
 def tail_counts(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
-    """__tail, __inside, __at_end: in how many distinct texts the last words that are asked for stand inside and at the end."""
-    asked = ends.where("__end <> 'whole' and __end <> 'cut' and __tail <> ''").select("__tail").distinct()
+    """__tail, __inside, __at_end: in how many distinct texts the last words of ends stand inside and at the end."""
+    asked = cut_lineage(ends.where("__tail <> ''").select("__tail").distinct())
     spaced = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
     inside = F.array_distinct(F.split(F.lower(F.regexp_replace(spaced, _LAST_WORD, "")), r"[^\p{L}]+"))
     last = F.array(F.lower(F.regexp_extract(spaced, _LAST_WORD, 1)))
     tagged = lambda words, at_end: F.transform(words, lambda w: F.struct(w.alias("__tail"), F.lit(at_end).alias("__last")))
     words = documents.where(F.length(text) > 0).select(F.xxhash64(text).alias("__text"), F.explode(F.concat(tagged(inside, False), tagged(last, True))).alias("__w"))
-    once = words.select("__text", "__w.*").join(asked, "__tail", "left_semi").distinct()
+    few = asked.count() <= BROADCAST_TAILS
+    once = words.select("__text", "__w.*").join(F.broadcast(asked) if few else asked, "__tail", "left_semi").distinct()
     return once.groupBy("__tail").agg(F.count_if(~F.col("__last")).alias("__inside"), F.count_if("__last").alias("__at_end"))
 
 
 def known_tails(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
-    """__tail: the last words that stand inside texts at least KNOWN_WORD times as often as at the end."""
+    """__tail: the last words of ends that stand inside texts at least KNOWN_WORD times as often as at the end."""
     whole = F.col("__inside") >= KNOWN_WORD * F.greatest("__at_end", F.lit(1))
     return tail_counts(documents, ends, text).where(whole).select("__tail", F.lit(True).alias("__known"))
 
 
+def _keyed(df: DataFrame, source: str) -> DataFrame:
+    """df with __key: the source, with a key of its own for null."""
+    return df.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))
+
+
 def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, why: the documents whose text lost its end.
 
-    why is `open` (structure or a mark at the end), `limit` (no terminator at a length where the source cuts, or a copy
-    of such a text), `sentence` (a sentence or statement without its end) or `word` (the last word is no whole word).
-    Null and empty texts have lost nothing; a null source is a source of its own; rows that occur twice come out twice;
-    an empty table gives no rows; other columns are ignored.
+    why is `broken`, `mark` or `open` (see ending), `limit` (no terminator at a length where the source cuts, or a copy
+    of such a text), `sentence` (a sentence or statement without its end, where its source ends them) or `word` (the last
+    word is no whole word). Null and empty texts have lost nothing; a null source is a source of its own; rows that occur
+    twice come out twice; an empty table gives no rows; other columns are ignored.
     """
-    ends = cut_lineage(endings(documents, doc_id, text, source))  # without the texts; wanted four times below
-    limits = source_limits(ends).select(F.col("source").alias("__s"), "unit", F.col("length").alias("__length"))
-    unsure = ends.where("__end <> 'whole' and __end <> 'cut'")
-    size = F.when(limits["unit"] == "chars", ends["__chars"]).otherwise(ends["__bytes"])
-    at_limit = (
-        unsure.join(limits, [unsure["__source"].eqNullSafe(limits["__s"]), size == limits["__length"]], "left_semi").select("__hash", F.lit(True).alias("__limit")).distinct()
-    )
-    judged = unsure.join(at_limit, "__hash", "left").join(known_tails(documents, ends, text), "__tail", "left")
-    why = (
-        F.when(F.col("__limit"), "limit")
-        .when(F.col("__end") == "unended", "sentence")
-        .when((F.col("__tail") != "") & F.col("__known").isNull(), "word")
-    )
-    rest = judged.select("__id", "__source", why.alias("why")).where("why is not null")
-    sure = ends.where("__end = 'cut'").select("__id", "__source", F.lit("open").alias("why"))
-    return sure.unionByName(rest).select(F.col("__id").alias(doc_id), F.col("__source").alias(source), "why")
+    ends = cut_lineage(_keyed(endings(documents, doc_id, text, source), "__source"))  # without the texts
+    limits = _keyed(source_limits(ends), "source")
+    unsure = ends.where("__end in ('dots', 'unended', 'bare')")
+    sizes = unsure.select("__hash", "__key", F.explode(F.create_map(F.lit("chars"), F.col("__chars"), F.lit("bytes"), F.col("__bytes"))).alias("unit", "length"))
+    at_limit = salted_join(sizes, limits.select("__key", "unit", "length"), ["__key", "unit", "length"], F.col("__hash"), "left_semi")
+    limited = cut_lineage(salted_join(ends, at_limit.select("__hash").distinct().withColumn("__limit", F.lit(True)), ["__hash"], F.col("__id"), "left").withColumn("__limit", F.coalesce("__limit", F.lit(False))))
+    usual = _keyed(source_baseline(limited), "source").where("usual").select("__key", "usual")
+    based = salted_join(limited.where("__end in ('dots', 'unended', 'bare')"), usual, ["__key"], F.col("__id"), "left")
+    why = F.when(F.col("__limit"), "limit").when((F.col("__end") == "unended") & F.col("usual").isNull(), "sentence")
+    judged = cut_lineage(based.select("__id", "__source", "__tail", why.alias("why")))
+    doubtful = judged.where("why is null and __tail <> ''")
+    words = salted_join(doubtful, known_tails(documents, doubtful, text), ["__tail"], F.col("__id"), "left").where("__known is null").select("__id", "__source", F.lit("word").alias("why"))
+    sure = ends.where("__end in ('broken', 'mark', 'open')").select("__id", "__source", F.col("__end").alias("why"))
+    found = sure.unionByName(judged.where("why is not null").select("__id", "__source", "why")).unionByName(words)
+    return found.select(F.col("__id").alias(doc_id), F.col("__source").alias(source), "why")
+
+
+WHYS = ("broken", "mark", "open", "limit", "sentence", "word")
 
 
 def truncation_report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """source, n_docs, n_truncated, share: how often each source cuts, over all documents with a text that isn't empty."""
+    """source, n_docs, n_truncated, share and n_ of each reason: how often each source cuts, over all documents with a text
+    that isn't empty."""
     n = documents.where(F.length(text) > 0).groupBy(source).agg(F.count(F.lit(1)).alias("n_docs")).select(F.col(source).alias("__s"), "n_docs")
-    cut = truncated(documents, doc_id, text, source).groupBy(source).agg(F.count(F.lit(1)).alias("__cut"))
+    cut = truncated(documents, doc_id, text, source).groupBy(source).agg(F.count(F.lit(1)).alias("__cut"), *(F.count_if(F.col("why") == w).alias(f"__{w}") for w in WHYS))
     both = n.join(cut, n["__s"].eqNullSafe(cut[source]), "left")
     found = F.coalesce("__cut", F.lit(0)).cast("bigint")
-    return both.select(F.col("__s").alias(source), "n_docs", found.alias("n_truncated"), (found / F.col("n_docs")).alias("share"))
+    return both.select(F.col("__s").alias(source), "n_docs", found.alias("n_truncated"), (found / F.col("n_docs")).alias("share"), *(F.coalesce(f"__{w}", F.lit(0)).cast("bigint").alias(f"n_{w}") for w in WHYS))

@@ -176,9 +176,11 @@ def test_short_items_are_removed(spark):
     "text, end",
     [
         ("The tray moves to the lease before the shift starts.", "whole"), ("The tray moves to the lease before the shi", "unended"),
-        ("The tray moves to the lease befo [cut]", "cut"), ("The tray moves to the lease bef�", "cut"), ("The tray moves to the lease &am", "cut"),
-        ("The tray moves to the lease.\n\nRegards", "bare"), ("The tray moves to the lease.\n\nto be continued …", "whole"), ("| tray | 3 |\n| lease with wide rows | 4 |", "whole"),
-        ("public int A() {\n    var x = 3;\n    if (x > 2) {\n        x = 4;\n", "cut"), ("public int A() {\n    var x = 3;\n    return x;\n}\n", "whole"), ("x", "whole"),
+        ("The tray moves to the lease befo [cut]", "mark"), ("The tray moves to the lease bef�", "broken"), ("The tray moves to the lease &am", "broken"),
+        ("The tray moves to the lease.\n\nRegards", "bare"), ("The tray moves to the lease.\n\nto be continued …", "dots"), ("| tray | 3 |\n| lease with wide rows | 4 |", "whole"),
+        ("public int A() {\n    var x = 3;\n    if (x > 2) {\n        x = 4;\n", "open"), ("public int A() {\n    var x = 3;\n    return x;\n}\n", "whole"), ("x", "whole"),
+        ("We buy from AT&T", "unended"), ("It works in about 100%", "unended"), ("Full at 50 %", "unended"), ("See C:\\games\\assets\\", "bare"), ("The lids are off for good...", "dots"), ("Short cut te", "bare"),
+        ("Path C:\\u", "bare"), ("The tray \\u00", "broken"), ("The tray%20of%2", "broken"), ("Fixed.\n~~~~~~~~~~~~\nThe tray moves to the lease.", "whole"), ("```\nint x = 1;\n", "open"), ("See <!-- the tray.", "open"),
     ],
 )
 def test_ending(text, end):
@@ -218,16 +220,31 @@ def test_limits_come_from_distinct_texts(spark):
 @pytest.mark.parametrize(
     "text, end",
     [
-        ("class A {\n    int x = 3;\n    void Go() {\n        x = 4;\n    }\n    /* Keeps the oldest row of each tray.", "cut"),
-        ("class A {\n    int x = 3;\n    // Keeps the oldest row.", "cut"), ("class A {\n    int x = 3;\n}\n// Keeps the oldest row.", "whole"),
-        ("<ul><li>The first tray moves.</li>\n\n<li>Then the second tray moves.", "cut"), ("The tray moves as <b title=\"le", "cut"),
-        ("The tray (of the lease.\n\nThe second tray moves to the shift.", "whole"), ("- says “the second tray here", "cut"), ("Tray 3 to the le", "bare"),
+        ("class A {\n    int x = 3;\n    void Go() {\n        x = 4;\n    }\n    /* Keeps the oldest row of each tray.", "open"),
+        ("class A {\n    int x = 3;\n    // Keeps the oldest row.", "open"), ("class A {\n    int x = 3;\n}\n// Keeps the oldest row.", "whole"),
+        ("<ul><li>The first tray moves.</li>\n\n<li>Then the second tray moves.", "open"), ("The tray moves as <b title=\"le", "open"),
+        ("The tray (of the lease.\n\nThe second tray moves to the shift.", "whole"), ("- says “the second tray here", "open"), ("Tray 3 to the le", "unended"),
     ],
 )
 def test_ending_inside_of_something_open(text, end):
     assert truncation.ending(text)[0] == end
 
 
+def test_terminators_count_by_the_source(spark):
+    lines = [f"The tray {i} moves to the oldest lease" + " of the row" * i for i in range(12)]
+    docs = [(i, t, "chat", "") for i, t in enumerate(lines)] + [(100 + i, t + ".", "wiki", "") for i, t in enumerate(lines)] + [(200, lines[3] + " again", "wiki", ""), (201, "We wait ...", "wiki", "")]
+    found = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [k for k in found if k < 200 and found[k] == "sentence"] == [] and found[200] == "sentence"
+
+
+def test_layout_tells_strays():
+    stray = "class A {\n    void Go(int x {\n        x = f(3;\n    }\n}\n"
+    assert truncation.open_in_code(stray) == []
+    assert [x[0] for x in truncation.open_in_code("class A {\n    void Go() {\n        x = f(3")] == ["{", "{", "("]
+    assert [x[0] for x in truncation.open_in_code("x = 1\ny = \"\"\"a(b\n")] == ['"""']
+    assert truncation.open_in_code("// (\n# {\nx = \"(\"\n") == []
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert differences(spark, f"{DATA}/sf0.001", QUERIES[name], ORACLE[name]) == ""
