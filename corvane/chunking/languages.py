@@ -54,7 +54,7 @@ CPP = Language(
     "cpp",
     (".cpp", ".cc", ".h", ".hpp", ".cxx"),
     rf'(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|R"(?P<raw>[^()\s\\]{{0,16}})\([\s\S]*?\)(?P=raw)"|{_DOUBLE}|{_CHAR}',
-    r"\s*(?:template\s*<[^\n]*>\s*)?(?:[\w:<>,*&\[\]]+[ \t*&]+)*",
+    r"\s*(?:template\s*<[^\n]*>\s*)?(?:[\w:<>,\[\]]+[ \t*&]+)*",
     r"^[ \t]*(?:\[\[|template\b)",
     rf"^[ \t]*(?:template[ \t]*<[^\n]*>[ \t]*)?(?P<kind>class|struct|enum(?:[ \t]+(?:class|struct))?|union)[ \t]+(?:\w+[ \t]+)?(?P<name>{_NAME})(?:[ \t]+final)?\s*(?::\s*(?P<bases>[^{{;]*?))?\s*\{{",
     namespace=r"^[ \t]*namespace[ \t]+(?P<name>[\w:]+)\s*\{",
@@ -72,7 +72,7 @@ PYTHON = Language(
     after=r"\s*(?:->[^\n]*)?:",
 )
 _SCRIPT_TOKENS = rf"(?P<line>{_SLASHES})|(?P<block>{_BLOCK})|{_DOUBLE}|{_SINGLE}|`(?:\\.|[^`\\])*`?"
-_SCRIPT_BEFORE = r"\s*(?:export[ \t]+)?(?:default[ \t]+)?(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set|declare)[ \t]+)*\*?[ \t]*(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*|(?:const|let|var)[ \t]+(?P<var>[\w$]+)[^=\n]{0,80}=[ \t]*(?:async[ \t]*)?(?:function[ \t]*)?)?"
+_SCRIPT_BEFORE = r"\s*(?:export[ \t]+)?(?:default[ \t]+)?(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set|declare)[ \t]+)*\*?[ \t]*(?:(?:async[ \t]+)?function[ \t]*\*?[ \t]*|(?:const|let|var)[ \t]+(?P<var>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?:function[ \t]*)?)?"
 _SCRIPT_AFTER = r"\s*(?::[^=;{\n]*)?\s*(?:=>|\{)"
 JAVASCRIPT = Language(
     "javascript",
@@ -109,7 +109,7 @@ RUST = Language(
     r"\s*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:const|async|unsafe|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+",
     r"^[ \t]*#!?\[",
     r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?P<kind>struct|enum|trait|union|impl)\b(?:<[^>\n]*>)?[ \t]+(?:(?P<bases>[\w:<>, ]+?)[ \t]+for[ \t]+)?(?P<name>\w+)",
-    after=r"[^{;]{0,400}[{;]",
+    after=r"[^{;]*[{;]",
 )
 GO = Language(
     "go",

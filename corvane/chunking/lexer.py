@@ -10,7 +10,10 @@ from corvane.chunking.languages import NOT_CALLED, Language, patterns
 
 _NOT_NEWLINE = re.compile(r"[^\n]")
 _BRACKET = re.compile(r"[()]")
-_CALL = re.compile(r"(?<![\w$.:~])(#?[A-Za-z_$~][\w$]*(?:(?:::|\.|:)~?[A-Za-z_$][\w$]*)*)?(?:<[^<>()\n]{0,80}>)?[ \t]*\(")
+_CALL = re.compile(r"(?<![\w$.:~])(#?[A-Za-z_$~][\w$]*(?:(?:::|\.|:)~?[A-Za-z_$][\w$]*)*)?(?:<[^<>()\n]*>)?[ \t]*\(")
+_DELIMITER = re.compile(r"[;{}\n]")
+_BRACES = re.compile(r"[{}]")
+_WORDS = re.compile(r"\b(?:function|if|do|repeat|end|until)\b")
 _LINE_END = re.compile(r"\r\n?")
 
 
@@ -37,6 +40,8 @@ class Function:
     line: int
     head_end: int
     start: int
+    #: Where its body ends; the head's end if it has none.
+    end: int = 0
 
 
 class Scanned:
@@ -83,42 +88,82 @@ class Scanned:
         else:
             self.comments.append(Comment(first, last, body, is_string))
 
-    def _brackets(self) -> dict[int, int]:
-        """The closing bracket of each opening one, in one pass."""
+    def _pairs(self, tokens: re.Pattern, openers: frozenset[str]) -> dict[int, int]:
+        """Where the partner of each opening token ends, in one pass; openers without one have none."""
         closes, stack = {}, []
-        for m in _BRACKET.finditer(self.masked):
-            if m.group() == "(":
+        for m in tokens.finditer(self.masked):
+            if m.group() in openers:
                 stack.append(m.start())
             elif stack:
-                closes[stack.pop()] = m.start()
+                closes[stack.pop()] = m.end()
         return closes
 
+    def _dedents(self) -> list[int]:
+        """For each line the end of the last solid line below it that is indented further, or of itself."""
+        ends, stack, last = [0] * len(self.lines), [], 0
+        for number, line in enumerate(self.masked.split("\n")):
+            solid = line.strip()
+            if not solid:
+                continue
+            indent = len(line) - len(line.lstrip())
+            while stack and stack[-1][1] >= indent:
+                ends[stack.pop()[0]] = last
+            stack.append((number, indent))
+            last = self.starts[number] + len(self.lines[number])
+        for number, _ in stack:
+            ends[number] = last
+        return ends
+
+    def _body_end(self, function: Function, close: int, bodies: dict[int, int] | list[int]) -> int:
+        """Where the body that follows the closing bracket of a head's parameters ends."""
+        text = self.masked
+        if self.language.nesting == "indent":
+            return max(bodies[self.line_of(close)], bodies[function.line], self.starts[function.head_end] + len(self.lines[function.head_end]))
+        if self.language.nesting == "words":
+            at = text.rfind("function", function.start, close)
+            return bodies.get(at, len(text))
+        opening, stop, arrow = text.find("{", close), text.find(";", close), text.find("=>", close)
+        line_end = self.starts[self.line_of(close) + 1] - 1
+        if arrow >= 0 and (opening < 0 or arrow < opening) and (stop < 0 or arrow < stop) and text[arrow + 2 :arrow + 200].lstrip()[:1] != "{":
+            return stop + 1 if stop >= 0 and (stop < line_end or self.language.name == "csharp") else line_end
+        if opening < 0 or 0 <= stop < opening:
+            return stop + 1 if stop >= 0 else line_end
+        return bodies.get(opening, len(text))
+
     def functions(self) -> list[Function]:
         """Heads of functions outside comments and strings, in order; time is linear in the text."""
         before, after = patterns(self.language)["before"], patterns(self.language)["after"]
         joined = self.language.name in ("lua", "cpp")  # names there may have owners
-        out, closes, text, inside = [], self._brackets(), self.masked, -1
+        out, closes, text, inside = [], self._pairs(_BRACKET, frozenset("(")), self.masked, -1
+        delimiters = [m.end() for m in _DELIMITER.finditer(text)]
+        if self.language.nesting == "indent":
+            bodies = self._dedents()
+        else:
+            bodies = self._pairs(_BRACES, frozenset("{")) if self.language.nesting == "braces" else self._pairs(_WORDS, frozenset(("function", "if", "do", "repeat")))
         for m in _CALL.finditer(text):
             called, opening = m.group(1) or "", m.end() - 1
-            close = closes.get(opening)
-            if close is None or opening < inside or called in NOT_CALLED or (not joined and re.search("[.:]", called)):
+            close = closes.get(opening, 0) - 1
+            if close < 0 or opening < inside or called in NOT_CALLED or (not joined and re.search("[.:]", called)):
                 continue
-            line = self.line_of(opening if not called else m.start(1))
-            start = self.starts[line]
-            lead = text[start : m.start(1) if called else opening]
+            name_at = m.start(1) if called else opening
+            line = self.line_of(name_at)
+            at = bisect_right(delimiters, name_at)
+            start = delimiters[at - 1] if at else 0
             if called in ("function", "func"):
-                lead, called = text[start:opening], ""
-            fits = before.fullmatch(lead) if len(lead) < 400 else None
-            if fits is None or NOT_CALLED.intersection(lead.split()) or not after.match(text, close + 1):
+                name_at, called = opening, ""
+            fits = before.fullmatch(text, start, name_at)
+            if fits is None or NOT_CALLED.intersection(text[start:name_at].split()) or not after.match(text, close + 1):
                 continue
             name = called or fits.groupdict().get("var")
-            if not name or (self.language.name == "lua" and called and "function" not in lead):
+            if not name or (self.language.name == "lua" and called and "function" not in text[start:name_at]):
                 continue
             if self.language.name == "rust" or after.pattern in ("", r"[^\n]*"):
                 end = close
             else:
                 end = after.match(text, close + 1).end() - 1
-            out.append(Function(re.split(r"[.:]+", name)[-1], self.text[opening + 1 : close], line, self.line_of(end), start))
+            made = Function(re.split(r"[.:]+", name)[-1], self.text[opening + 1 : close], line, self.line_of(end), start)
+            made.end = self._body_end(made, close, bodies)
+            out.append(made)
             inside = close
         return out
 
