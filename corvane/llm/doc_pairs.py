@@ -1,10 +1,10 @@
 """Functions paired with their documentation.
 
 The comments of a text that stand alone on their lines, and its docstrings, are candidates; functions are found by their
-heads. A candidate may belong to a function whose head (with its attributes) begins right after it, or whose body it
-opens. The pairs are weighted by distance, by the parameters their tags name and by the function's name, and a best
-assignment gives each function and each comment one partner at most. Pairs whose text says nothing are rejected before
-that. All of it needs one chunk only, so the corpus isn't shuffled.
+heads. A candidate may belong to a function whose head (with its attributes) follows it, or whose body it opens. The
+pairs are weighted by distance, by the parameters their tags name and by the function's name, and a heaviest assignment
+gives each function and each comment one partner at most. Pairs whose text says nothing, and those further apart whose
+tags name no parameter, are rejected before that. All of it needs one chunk only, so the corpus isn't shuffled.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ _CODE_END = re.compile(r"[;{}]\s*$|^\s*[)}\]]+[;,]?\s*$|^\s*end\s*$")
 _CODE = re.compile(r"^\s*(?:(?:var|let|const|local|auto|int|bool|float|string|std::\w+|return|if|for|while|foreach|else|elif|def|func|fn|function|import|from|using|await|self|this|print|delete|throw|raise|yield)\b.*[=(;{:]|[\w.:\[\]\"']+\s*(?:[-+*/|&]?=|:=|\+=)\s*\S|[\w.:>-]+\([^)]*\)\s*;?\s*$)")
 
 
+#: So many blank lines may stand between a comment and its function.
+MAX_GAP = 2
+
+
 def name_words(name: str | None) -> list[str]:
     """The words of an identifier, in lower case."""
     return [w.lower() for w in _CAMEL.findall(name or "")]
@@ -184,96 +188,114 @@ def _tags(raw: str) -> set[str]:
 
 
 def _weight(comment: Comment, function: Function, head: int, scanned: Scanned) -> int:
-    """How well a comment fits a function; 0 is implausible."""
+    """How well a comment fits a function; 0 is implausible.
+
+    A docstring is the first thing below the head. A comment above may be MAX_GAP blank lines away, if its tags then
+    name a parameter; no code may stand between, nor before the head on its line.
+    """
+    gap = 0
     if comment.is_string:
         below = function.head_end + 1
         while below < comment.first and not scanned.lines[below].strip():
             below += 1
         if comment.first != below:
             return 0
-        near = 8
-    elif comment.last == head - 1 or function.line > comment.last >= head:
-        near = 8
-    else:
+    elif not function.line > comment.last >= head:
+        gap = head - 1 - comment.last
+        between = scanned.text[scanned.starts[function.line] : function.start]
+        if not 0 <= gap <= MAX_GAP or between.strip() or any(line.strip() for line in scanned.lines[comment.last + 1 : head]):
+            return 0
+    names, tags = set(parameter_names(function.args)), _tags(comment.text)
+    if gap and not tags & names:
         return 0
-    names = set(parameter_names(function.args))
-    tags = _tags(comment.text)
-    return near + 2 * len(tags & names) - len(tags - names) + (function.name in comment.text)
+    return 8 - 2 * gap + 2 * len(tags & names) - len(tags - names) + (function.name in comment.text)
 
 
 def assign(weights: dict[tuple[int, int], int]) -> dict[int, int]:
     """A heaviest assignment of functions (first numbers) to comments (second), as function to comment.
 
-    Weights are few and local; groups that share a function or comment are solved one by one with augmenting paths.
+    Functions come in one by one; each takes the way of exchanges that gains most, to a free comment or to a function
+    that goes without. What was heaviest before is so again after each, so the last is heaviest of all. Weights that
+    aren't above 0 are never taken.
     """
-    options: dict[int, list[tuple[int, int]]] = {}
-    for (f, c), w in weights.items():
-        options.setdefault(f, []).append((w, c))
-    taken: dict[int, int] = {}
-
-    def place(f: int, seen: set[int]) -> bool:
-        for _, c in sorted(options[f], reverse=True):
-            if c in seen:
-                continue
-            seen.add(c)
-            if c not in taken or (weights[f, c] > weights[taken[c], c] and place(taken[c], seen)) or (weights[f, c] <= weights[taken[c], c] and _moves(taken[c], c, seen)):
-                taken[c] = f
-                return True
-        return False
-
-    def _moves(f: int, _: int, seen: set[int]) -> bool:
-        return place(f, seen)
-
-    for f in sorted(options, key=lambda f: -max(options[f])[0]):
-        place(f, set())
-    return {f: c for c, f in taken.items()}
-
-
-def documented_functions(text: str, path: str | None, owner: str | None = None) -> list[tuple[str, str, str]]:
-    """name, documentation and code head of each function of a text that has telling documentation."""
-    language = language_of(path)
-    if language is None or not text:
-        return []
-    scanned = Scanned(text, language)
+    options: dict[int, dict[int, int]] = {}
+    for (f, c), w in sorted(weights.items()):
+        if w > 0:
+            options.setdefault(f, {})[c] = w
+    of: dict[int, int] = {}  # comment to function
+    for f in options:
+        gain, came = dict(options[f]), dict.fromkeys(options[f], -1)
+        waiting = list(gain)
+        while waiting:
+            c = waiting.pop(0)
+            if c in of:
+                holder = options[of[c]]
+                for other, w in holder.items():
+                    better = gain[c] - holder[c] + w
+                    if other != c and better > gain.get(other, 0):
+                        gain[other], came[other] = better, c
+                        waiting.append(other)
+        ends = [(gain[c] - (options[of[c]][c] if c in of else 0), c) for c in gain]
+        best, c = max(ends, key=lambda x: (x[0], -x[1]))
+        if best > 0:
+            while c != -1:
+                before = came[c]
+                of[c] = of[before] if before != -1 else f
+                c = before
+    return {f: c for c, f in of.items()}
+
+
+def _partners(scanned: Scanned, owner: str | None) -> tuple[list[Function], dict[int, int]]:
+    """The functions of a text and their comments, by number."""
     functions = scanned.functions()
-    heads = [scanned.first_line_of_head(f) for f in functions]
     weights: dict[tuple[int, int], int] = {}
     near: dict[int, list[int]] = {}
     for c, comment in enumerate(scanned.comments):
-        for line in (range(comment.first - 3, comment.first + 1) if comment.is_string else range(comment.last + 1, comment.last + 2)):
+        for line in range(comment.first - 3, comment.first + 1) if comment.is_string else range(comment.last + 1, comment.last + 2 + MAX_GAP):
             near.setdefault(line, []).append(c)
-    for f, (function, head) in enumerate(zip(functions, heads)):
+    for f, function in enumerate(functions):
+        head = scanned.first_line_of_head(function)
         lines = {head, function.head_end, *range(head + 1, function.line + 1)}
         for c in {c for line in lines for c in near.get(line, ())}:
             w = _weight(scanned.comments[c], function, head, scanned)
             if w > 0 and says_something(scanned.comments[c].text, function.name, function.args, owner):
                 weights[f, c] = w
-    chosen = assign(weights)
-    out = []
-    for f in sorted(chosen):
-        function = functions[f]
-        end = functions[f + 1].start if f + 1 < len(functions) else len(scanned.text)
-        out.append((function.name, "\n".join(doc_lines(scanned.comments[chosen[f]].text)).strip(), scanned.text[function.start : end].strip("\n")))
-    return out
+    return functions, assign(weights)
+
+
+def _told_by(comment: Comment) -> str:
+    return "\n".join(doc_lines(comment.text)).strip()
+
+
+def documented_functions(text: str, path: str | None, owner: str | None = None) -> list[tuple[str, str, str]]:
+    """name, documentation and code (the head to the end of its body) of each function with telling documentation."""
+    language = language_of(path)
+    if language is None or not text:
+        return []
+    scanned = Scanned(text, language)
+    functions, chosen = _partners(scanned, owner)
+    code = lambda f: scanned.text[f.start : max(f.end, f.start)].strip("\n")
+    return [(functions[f].name, _told_by(scanned.comments[chosen[f]]), code(functions[f])) for f in sorted(chosen)]
 
 
 def own_documentation(text: str, path: str | None, name: str | None, doc: str | None, owner: str | None = None) -> str | None:
-    """The telling documentation of a chunk that is a function: doc_comment, or if that is blank what its source holds."""
+    """The telling documentation of a chunk that is a function: doc_comment, or if that is blank what its source holds.
+
+    The function is the first of that name in the source, else the first of all; where none is found, the comment that
+    begins the source stands for it.
+    """
     language = language_of(path) or LANGUAGES["csharp"]
     if doc and doc.strip():
         m = re.search(r"\b" + re.escape(name) + r"\s*(?:<[^>\n]*>)?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)", text) if name else None
         return "\n".join(doc_lines(doc)).strip() if says_something(doc, name, m.group(1) if m else "", owner) else None
     scanned = Scanned(text, language)
     functions = scanned.functions()
-    own = next((f for f in functions if f.name == name), functions[0] if functions else None)
-    if own is None:
+    if not functions:
         lead = [c for c in scanned.comments if not any(line.strip() for line in scanned.lines[: c.first])]
-        return "\n".join(doc_lines(lead[0].text)).strip() if lead and says_something(lead[0].text, name, "", owner) else None
-    head = scanned.first_line_of_head(own)
-    for comment in scanned.comments:
-        if _weight(comment, own, head, scanned) > 0 and says_something(comment.text, name, own.args, owner):
-            return "\n".join(doc_lines(comment.text)).strip()
-    return None
+        return _told_by(lead[0]) if lead and says_something(lead[0].text, name, "", owner) else None
+    own = next((f for f, function in enumerate(functions) if function.name == name), 0)
+    chosen = _partners(scanned, owner)[1]
+    return _told_by(scanned.comments[chosen[own]]) if own in chosen else None
 
 
 def function_doc_pairs(chunks: DataFrame, key: str = "chunk_no") -> DataFrame:

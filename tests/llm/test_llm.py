@@ -106,6 +106,48 @@ def test_long_text_is_read_in_linear_time():
     assert doc_pairs.documented_functions("foo(" * 50_000, "a.cs") == []
 
 
+def test_assignment_is_heaviest():
+    r = random.Random(3)
+
+    def heaviest(weights, functions):
+        if not functions:
+            return 0
+        f, rest = functions[0], functions[1:]
+        own = [w + heaviest({k: v for k, v in weights.items() if k[1] != c}, rest) for (g, c), w in weights.items() if g == f]
+        return max([heaviest(weights, rest), *own])
+
+    for _ in range(1500):
+        n, m = r.randrange(1, 5), r.randrange(1, 5)
+        weights = {(f, c): r.randrange(-1, 12) for f in range(n) for c in range(m) if r.random() < 0.7}
+        made = doc_pairs.assign(weights)
+        assert len(set(made.values())) == len(made) and sum(weights[x] for x in made.items()) == heaviest(weights, list(range(n)))
+    assert doc_pairs.assign({(0, 0): 11, (0, 2): 9, (1, 0): 5, (1, 1): 4}) == {0: 0, 1: 1}
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.cs", "class A {\n    // Keeps the oldest row of each tray.\n    int Keep(int a) {\n        if (a > 1) { return a; }\n        return 0;\n    }\n\n    // Drops trays that nobody claims.\n    int Drop() => 3;\n\n    // Turns the lid by one step.\n    void Turn() { }\n}\n"),
+        ("a.py", "class A:\n    # Keeps the oldest row of each tray.\n    def keep(self, a):\n        if a:\n            return a\n\n        return 0\n\n    # Drops trays that nobody claims.\n    def drop(self): return 3\n    def turn(self):\n        \"\"\"Turns the lid by one step.\"\"\"\n"),
+        ("a.lua", "-- Keeps the oldest row of each tray.\nfunction A.keep(a)\n  if a then return a elseif b then for i = 1, 2 do print(i) end end\n  return 0\nend\n\n-- Drops trays that nobody claims.\nlocal function drop() return 3 end\n-- Turns the lid by one step.\nfunction A:turn()\nend\n"),
+        ("a.go", "// Keeps the oldest row of each tray.\nfunc (a *A) Keep(b int) (int, error) {\n\treturn 0, nil\n}\n\n// Drops trays that nobody claims.\nfunc Drop() int { return 3 }\n\n// Turns the lid by one step.\nfunc Turn() {\n}\n"),
+        ("a.ts", "// Keeps the oldest row of each tray.\nexport function keep(a: number) {\n  return { a };\n}\n// Drops trays that nobody claims.\nconst drop = (a) => a + 1;\n// Turns the lid by one step.\nconst turn = async () => {\n};\n"),
+    ],
+)
+def test_code_ends_with_its_body(path, text):
+    made = doc_pairs.documented_functions(text, path)
+    assert [d.split()[0] for _, d, _ in made] == ["Keeps", "Drops", "Turns"]
+    for (_, _, code), foreign in zip(made, (("Drops", "Turns"), ("Keeps", "Turns"), ("Keeps", "Drops"))):
+        assert code and not any(word in code for word in foreign) and "oldest" not in code
+    assert made[0][2].rstrip().endswith(("}", "return 0", "end"))
+
+
+def test_distance_needs_tags():
+    tagged = "// @param a the width of the tray in cells\n\nint Width(int a) { return a; }\n"
+    assert len(doc_pairs.documented_functions(tagged, "a.cpp")) == 1 and doc_pairs.documented_functions(tagged.replace("@param a", ""), "a.cpp") == []
+    assert len(doc_pairs.documented_functions("// Widens the tray by one cell.\n" + "long " * 200 + "Width(int a) { return a; }\n", "a.cpp")) == 1
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 def test_pieces_give_back_the_text():
     r = random.Random(4)
