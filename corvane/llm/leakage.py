@@ -3,13 +3,15 @@
 All items of a block go into one generalised suffix automaton over words. A document's words stream through it once;
 the automaton always knows the longest run of words that ends here and stands in some item, so each passage of the
 required length is seen wherever it starts, and the items that hold it are read off the state. The corpus is neither
-shuffled nor compared pairwise: its rows meet the stated set of items, block after block.
+shuffled nor compared pairwise: its rows meet the stated set of items, block after block. The driver passes on the texts
+of a block; each worker makes the automaton from them once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 #: Words that make a passage; a shorter item must stand in the document as a whole.
 PASSAGE_WORDS = 12
 
-#: Items are broadcast in blocks of about so many characters, however large the evaluation set is; each block is one more pass.
-BLOCK_CHARS = 400_000
+#: Items are broadcast in blocks of about so many characters; up to that, one pass over the corpus does, and each further
+#: block is one more. The automaton of a block takes some 200 MB in a worker.
+BLOCK_CHARS = 1_000_000
 
 #: Characters taken out before words are read (zero-width space, word joiner, soft hyphen, byte order mark).
 IGNORED = dict.fromkeys([0x200B, 0x2060, 0x00AD, 0xFEFF])
@@ -137,13 +140,24 @@ class ItemAutomaton:
         return found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, list[str]]]]:
+#: The automaton that this worker made last, under the name of its block; only one is kept.
+_MADE: dict[str, ItemAutomaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[int, str]], passage: int) -> ItemAutomaton:
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = ItemAutomaton([(item, words_of(text)) for item, text in items], passage)
+    return _MADE[name]
+
+
+def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     rows = items.where(F.col(item_id).isNotNull() & (F.length(text) > 0)).select(F.col(item_id).alias("__id"), F.col(text).alias("__text"))
     total = rows.agg(F.sum(F.length("__text").cast("bigint")).alias("n")).first()["n"] or 0
     n_blocks = -(-total // block_chars)
     for block in range(n_blocks):
         part = rows.where(F.pmod(F.xxhash64("__id"), F.lit(n_blocks)) == block)
-        yield [(r["__id"], words_of(r["__text"])) for r in part.toLocalIterator()]
+        yield [(r["__id"], r["__text"]) for r in part.toLocalIterator()]
 
 
 def leaked_passages(
@@ -156,32 +170,34 @@ def leaked_passages(
     item_text: str = "text",
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """item_id, doc_id, first_word, n_words: the spans of each document that hold passages of each item.
+    """item_id, doc_id, text_hash, first_word, n_words: the spans of each document that hold passages of each item.
 
     A span is made of runs of `passage` consecutive words of the item, or is the whole of an item that has fewer words;
     spans of the same item that touch are one. Null, empty and wordless texts hold and leak nothing; rows with the same
-    id are judged each on their own; either table may be empty.
+    id are judged each on their own, told apart by text_hash (xxhash64); either table may be empty.
     """
     id_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"`{item_id}` {item_type}, `{doc_id}` {id_type}, first_word int, n_words int"
-    spark, texts = documents.sparkSession, documents.where(F.length(text) > 0).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    schema = f"`{item_id}` {item_type}, `{doc_id}` {id_type}, text_hash bigint, first_word int, n_words int"
+    spark, texts = documents.sparkSession, documents.where(F.length(text) > 0).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
+
+    def against(block):
+        name = uuid.uuid4().hex
 
-    def against(automaton_of):
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = automaton_of.value
+            automaton = _automaton(name, block.value, passage)
             names = automaton.items
             for batch in batches:
                 out = [
-                    (names[n], doc, first, end - first)
-                    for doc, body in zip(batch["__id"], batch["__text"])
+                    (names[n], doc, key, first, end - first)
+                    for doc, body, key in zip(batch["__id"], batch["__text"], batch["__hash"])
                     for n, spans in automaton.spans(words_of(body)).items()
                     for first, end in spans
                 ]
-                yield pd.DataFrame(out, columns=[item_id, doc_id, "first_word", "n_words"])
+                yield pd.DataFrame(out, columns=[item_id, doc_id, "text_hash", "first_word", "n_words"])
 
         return texts.mapInPandas(stream, schema)
 
-    found = [against(spark.sparkContext.broadcast(ItemAutomaton(block, passage))) for block in _blocks(items, item_id, item_text, block_chars)]
+    found = [against(spark.sparkContext.broadcast(block)) for block in _blocks(items, item_id, item_text, block_chars)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
@@ -226,8 +242,8 @@ def remove_leaks(
     A document of which the spans cover more than `coverage` of the words keeps nothing (text is empty). Documents
     without passages are left out: they stay as they are. passages are those of leaked_passages.
     """
-    spans = passages.groupBy(doc_id).agg(F.collect_set(F.struct("first_word", "n_words")).alias("__spans"))
-    joined = documents.select(F.col(doc_id), F.col(text)).join(spans, doc_id)
+    spans = passages.groupBy(doc_id, "text_hash").agg(F.collect_set(F.struct("first_word", "n_words")).alias("__spans"))
+    joined = documents.select(F.col(doc_id), F.col(text), F.xxhash64(text).alias("text_hash")).join(spans, [doc_id, "text_hash"])
     schema = f"`{doc_id}` {documents.schema[doc_id].dataType.simpleString()}, `{text}` string, removed_words int"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

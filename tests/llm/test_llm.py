@@ -206,6 +206,40 @@ def test_leaks_against_brute_force(spark):
     assert {(x.item_id, x.doc_id) for x in leakage.leaks(found).collect()} == want
 
 
+def test_leaks_over_unicode_forms(spark):
+    import re
+    import unicodedata
+
+    def plain(text):
+        for char in "\u200b\u2060\u00ad\ufeff":
+            text = text.replace(char, "")
+        return re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).lower())
+
+    r = random.Random(70)
+    words = ["Straße", "ﬁne", "Ｌｉｄ", "e\u0301tage", "étage", "ТРЕЙ", "棚", "a_b", "x²", "№7", "٣", "İz"]
+    noisy = lambda w: "".join(c + r.choice(["", "", "", "\u200b", "\u00ad", "\u2060"]) for c in w)
+    text = lambda n: r.choice([" ", "\ufeff", ""]) + "".join(noisy(r.choice(words)) + r.choice([" ", "\n", ", ", "\u3000"]) for _ in range(n))
+    items = [(i, text(r.choice([2, 6, 12, 13]))) for i in range(30)]
+    docs = [(100 + i, text(r.randrange(40)) + (r.choice(items)[1].upper() if i % 2 else "") + text(5)) for i in range(50)]
+    want = set()
+    for i, item in items:
+        w = plain(item)
+        grams = [w[k : k + 12] for k in range(len(w) - 11)] if len(w) >= 12 else [w]
+        for d, body in docs:
+            t = plain(body)
+            if any(t[k : k + len(g)] == g for g in grams for k in range(len(t) - len(g) + 1)):
+                want.add((i, d))
+    found = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.item_id, x.doc_id) for x in leakage.leaks(found).collect()} == want and len(want) > 20
+
+
+def test_rows_of_one_id_are_cleaned_each_on_their_own(spark):
+    items = spark.createDataFrame([(1, "count the empty trays")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(10, "First, by the old road home, count the empty trays and then go."), (10, "Nothing of that kind stands here at all.")], "doc_id bigint, text string")
+    made = leakage.remove_leaks(docs, leakage.leaked_passages(docs, items)).collect()
+    assert [(r.doc_id, r.removed_words) for r in made] == [(10, 4)]
+
+
 def test_short_items_are_removed(spark):
     items = spark.createDataFrame([(1, "Count the empty trays"), (2, "b")], "item_id bigint, text string")
     docs = spark.createDataFrame([(10, "First: count the empty trays, then go home by the old road."), (11, "Count the empty TRAYS!")], "doc_id bigint, text string")
