@@ -5,8 +5,8 @@ fences, markup, block comments and strings. In prose, what a paragraph or list i
 the layout tells which openers are strays: a bracket isn't open at a line that stands further left than its own. Broken
 multibyte sequences, escapes and marks of a cut end a text as well. Whether a missing terminator means anything is a
 matter of the source, over all its distinct texts: lengths at which they pile up are its limits, and a sentence without
-its terminator was cut only where the source ends most of them. Where nothing else decides, a last word that texts hold
-at their ends rather than inside is a broken one.
+its terminator was cut only where the source ends most of them. Where nothing else decides, a last word is a broken one
+if it is no word that texts hold inside but the beginning of one.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
 _LONG_ITEM = re.compile(r"^\s*(?:[-*+]|\d+\.)\s+(?:\S+\s+){4,}\S*$")
 _NAMED_ITEM = re.compile(r"^\s*[-*+] `[^`]*`:")
 _FIELD = re.compile(r"^\s+[\w$]+:\s+\S+$|^\s*[\w$]+:\s*\S*$")
-_TAIL_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[^\W\d_]+)\Z")
+_TAIL_WORD = re.compile(r"[^\W\d_]+\Z")
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:\s[^<>]*|/)?)(?:(>)|\Z)")
@@ -67,9 +67,6 @@ KNOWN_WORD = 3
 #: A missing terminator tells of a cut in sources where at most this share of the texts off their limits lacks it.
 USUAL_UNENDED = 0.5
 
-#: So many last words in doubt are broadcast, a few megabytes; more meet the words of the texts in a shuffle.
-BROADCAST_TAILS = 100_000
-
 #: The last word of a text, also before the marks and broken characters of a cut (in Java's syntax, in linear time).
 _LAST_WORD = (
     r"(?<!\p{L})(\p{L}++)(?:\s*+(?:\.\.\.|…|(?i:\[(?:cut|truncated|snip(?:ped)?|clipped)\]|<(?:cut|truncated|snip)>|\(truncated\))|�|\\u[0-9a-fA-F]{0,3}"
@@ -207,6 +204,14 @@ def _broken(text: str) -> bool:
     return bool(_PERCENT_START.search(word))
 
 
+def _last_word(text: str) -> str:
+    """The letters at the end of a text in lower case, from the last capital after a small letter on."""
+    found = _TAIL_WORD.search(text[-200:])
+    word = found.group() if found else ""
+    at = next((i for i in range(len(word) - 1, 0, -1) if word[i].isupper() and word[i - 1].islower()), 0)
+    return word[at:].lower()
+
+
 def ending(raw: str) -> tuple[str, str]:
     """How a text ends, and its last word if that word's wholeness may tell more.
 
@@ -224,8 +229,7 @@ def ending(raw: str) -> tuple[str, str]:
     last, code = lines[-1], is_code(lines)
     left = open_in_code(bare) if code else open_in_prose(bare)
     closed = bare[-1:] != "" and bare.rstrip(_CLOSERS)[-1:] in tuple(TERMINATORS) and not dots
-    word = _TAIL_WORD.search(bare if dots else text)
-    tail = word.group().lower() if word else ""
+    tail = _last_word(bare if dots else text)
     if marked:
         return "mark", ""
     if left and code and closed and bare[-1] in TERMINATORS and not _COMMENT_LINE.match(last) and all(x[0] in "([{" for x in left):
@@ -304,23 +308,31 @@ def source_baseline(ends: DataFrame) -> DataFrame:
     return counts.withColumn("usual", F.col("n_unended") > USUAL_UNENDED * (F.col("n_ended") + F.col("n_unended")))
 
 
-def tail_counts(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
-    """__tail, __inside, __at_end: in how many distinct texts the last words of ends stand inside and at the end."""
-    asked = cut_lineage(ends.where("__tail <> ''").select("__tail").distinct())
-    spaced = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
+def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """__word, __inside, __at_end: in how many distinct texts each word stands inside and at the end, also before the marks
+    of a cut. Words are counted where they are read, so only the vocabulary is shuffled, besides the texts once."""
+    once = documents.where(F.length(text) > 0).select(F.xxhash64(text).alias("__key"), F.col(text).alias("__text")).dropDuplicates(["__key"])
+    spaced = F.regexp_replace("__text", r"(\p{Ll})(\p{Lu})", "$1 $2")
     inside = F.array_distinct(F.split(F.lower(F.regexp_replace(spaced, _LAST_WORD, "")), r"[^\p{L}]+"))
     last = F.array(F.lower(F.regexp_extract(spaced, _LAST_WORD, 1)))
-    tagged = lambda words, at_end: F.transform(words, lambda w: F.struct(w.alias("__tail"), F.lit(at_end).alias("__last")))
-    words = documents.where(F.length(text) > 0).select(F.xxhash64(text).alias("__text"), F.explode(F.concat(tagged(inside, False), tagged(last, True))).alias("__w"))
-    few = asked.count() <= BROADCAST_TAILS
-    once = words.select("__text", "__w.*").join(F.broadcast(asked) if few else asked, "__tail", "left_semi").distinct()
-    return once.groupBy("__tail").agg(F.count_if(~F.col("__last")).alias("__inside"), F.count_if("__last").alias("__at_end"))
+    tagged = lambda words, at_end: F.transform(words, lambda w: F.struct(w.alias("__word"), F.lit(at_end).alias("__last")))
+    words = once.select(F.explode(F.concat(tagged(inside, False), tagged(last, True))).alias("__w")).select("__w.*").where("__word <> ''")
+    return words.groupBy("__word").agg(F.count_if(~F.col("__last")).alias("__inside"), F.count_if("__last").alias("__at_end"))
 
 
-def known_tails(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
-    """__tail: the last words of ends that stand inside texts at least KNOWN_WORD times as often as at the end."""
-    whole = F.col("__inside") >= KNOWN_WORD * F.greatest("__at_end", F.lit(1))
-    return tail_counts(documents, ends, text).where(whole).select("__tail", F.lit(True).alias("__known"))
+def known_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """__word: the words that stand inside texts at least KNOWN_WORD times as often as at the end."""
+    return word_counts(documents, text).where(F.col("__inside") >= KNOWN_WORD * F.greatest("__at_end", F.lit(1))).select("__word")
+
+
+def broken_tails(documents: DataFrame, ends: DataFrame, text: str = "text") -> DataFrame:
+    """__tail: the last words of ends that are no known words but the beginnings of some."""
+    asked = cut_lineage(ends.where("__tail <> ''").select("__tail").distinct())
+    longest = asked.agg(F.coalesce(F.max(F.length("__tail")), F.lit(0))).first()[0]
+    known = cut_lineage(known_words(documents, text))
+    upto = F.least(F.length("__word") - 1, F.lit(int(longest)))
+    starts = known.where(F.length("__word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), upto), lambda n: F.substr("__word", F.lit(1), n))).alias("__tail"))
+    return asked.join(known.withColumnRenamed("__word", "__tail"), "__tail", "left_anti").join(starts, "__tail", "left_semi")
 
 
 def _keyed(df: DataFrame, source: str) -> DataFrame:
@@ -347,7 +359,7 @@ def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     why = F.when(F.col("__limit"), "limit").when((F.col("__end") == "unended") & F.col("usual").isNull(), "sentence")
     judged = cut_lineage(based.select("__id", "__source", "__tail", why.alias("why")))
     doubtful = judged.where("why is null and __tail <> ''")
-    words = salted_join(doubtful, known_tails(documents, doubtful, text), ["__tail"], F.col("__id"), "left").where("__known is null").select("__id", "__source", F.lit("word").alias("why"))
+    words = salted_join(doubtful, broken_tails(documents, doubtful, text), ["__tail"], F.col("__id"), "left_semi").select("__id", "__source", F.lit("word").alias("why"))
     sure = ends.where("__end in ('broken', 'mark', 'open')").select("__id", "__source", F.col("__end").alias("why"))
     found = sure.unionByName(judged.where("why is not null").select("__id", "__source", "why")).unionByName(words)
     return found.select(F.col("__id").alias(doc_id), F.col("__source").alias(source), "why")

@@ -283,7 +283,10 @@ def test_words_before_the_marks_of_cuts_are_not_known(spark):
     texts = [f"Crane {i} is what the transfor{m}" for i, m in enumerate(marks)] + [f"The oldest crane {i} lifts the tray." for i in range(7)]
     texts += ["# The tray and how to transfor", "# The tray below an oldest crane"] + ["A transfor of crane stands inside."] * 20
     docs = spark.createDataFrame([(i, t, "s", "") for i, t in enumerate(texts)], DOCS)
-    assert {r["__tail"] for r in truncation.known_tails(docs, truncation.endings(docs)).collect()} == {"crane"}
+    known = {r["__word"] for r in truncation.known_words(docs).collect()}
+    assert "crane" in known and "transfor" not in known
+    more = docs.unionByName(spark.createDataFrame([(900 + i, f"They transform {i} trays.", "s", "") for i in range(90)], DOCS))
+    assert {r["__tail"] for r in truncation.broken_tails(more, truncation.endings(more)).collect()} == {"transfor"}
 
 
 def test_limits_come_from_distinct_texts(spark):
