@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.keys import normal_guid, normal_label, normal_path, strip_blanks
 
-#: What can be the name of a type in source text.
+#: What can be the name of a type in source text, if it has a small letter (MAX_SIZE has none).
 TYPE_NAME = r"\b[A-Z]\w{2,}\b"
 
+# The types of chunks that hold code of a class, and the order in which a file's chunks are listed.
+CODE_TYPES = ("whole_class", "class_summary", "method", "constructor", "property", "function")
+TYPE_ORDER = ("class_summary", "whole_class", "prefab_summary", "constructor", "property", "method", "function", "gameobject", "component", "template")
+
+#: What is taken out of source before names are read, in this order: strings of a line, block comments, line comments,
+#: lines of attributes and lines that are comments or directives. Pairs of a pattern (RE2 and Java alike) and what stays.
+NOISE = (
+    (r'"[^"\n]*"', '""'),
+    (r"(?s)/\*.*?\*/", " "),
+    (r"//[^\n]*", ""),
+    (r"(?s)--\[\[.*?\]\]", " "),
+    (r"(?m)(^|[ \t])--[^\n]*", " "),
+    (r"(?m)^[ \t]*\[[^\]\n]*\]", ""),
+    (r"(?m)^[ \t]*#[^\n]*", ""),
+)
+
+
+def without_noise(source: Column) -> Column:
+    """Source without comments, strings and attributes, by NOISE; line ends are \\n after it."""
+    clean = F.regexp_replace(source, r"\r\n?", "\n")
+    for pattern, kept in NOISE:
+        clean = F.regexp_replace(clean, pattern, kept)
+    return clean
+
+
+def type_names(source: Column) -> Column:
+    """The distinct names of types in source that is no comment, string or attribute, as an array."""
+    found = F.array_distinct(F.regexp_extract_all(without_noise(source), F.lit(f"({TYPE_NAME})")))
+    return F.filter(found, lambda name: name.rlike("[a-z]"))
+
+
+def type_rank(chunk_type: Column) -> Column:
+    """The place of a chunk type in listings; others come last."""
+    rank = F.lit(99)
+    for number, name in reversed(list(enumerate(TYPE_ORDER))):
+        rank = F.when(chunk_type == name, number).otherwise(rank)
+    return rank
+
 
 def latest_chunks(chunks: DataFrame, key: str = "chunk_no", version: str = "indexed_at") -> DataFrame:
     """One row for each key, of latest version (null is oldest), with normal paths and labels; null keys are left out."""
@@ -24,9 +62,9 @@ def latest_chunks(chunks: DataFrame, key: str = "chunk_no", version: str = "inde
 def file_listing(chunks: DataFrame) -> DataFrame:
     """repo, file_path, position, chunk_no, chunk_type, start_line, end_line: each file's chunks in their order.
 
-    Null lines come first; ties fall to the smaller chunk_no.
+    By the rank of their type, then by line, null lines first; ties fall to the smaller chunk_no.
     """
-    order = W.partitionBy("repo", "file_path").orderBy(F.col("start_line").asc_nulls_first(), "chunk_no")
+    order = W.partitionBy("repo", "file_path").orderBy(type_rank(F.col("chunk_type")), F.col("start_line").asc_nulls_first(), "chunk_no")
     return latest_chunks(chunks).select("repo", "file_path", F.row_number().over(order).alias("position"), "chunk_no", "chunk_type", "start_line", "end_line")
 
 
@@ -52,14 +90,20 @@ def implementations(chunks: DataFrame) -> DataFrame:
     )
 
 
+def code_of_classes(chunks: DataFrame) -> DataFrame:
+    """The latest chunks that hold code of a class with a name."""
+    return latest_chunks(chunks).where(F.col("chunk_type").isin(*CODE_TYPES) & (F.col("class_name") != ""))
+
+
 def dependencies(chunks: DataFrame) -> DataFrame:
-    """repo, class_name, used_class, n_chunks: classes whose source names another known class of the same repo.
+    """repo, class_name, used_class, n_chunks: classes whose code names another known class of the same repo.
 
-    Names are taken apart inside the JVM and made distinct within a chunk before they meet the known classes.
+    Names in comments, strings and attributes don't count. They are taken apart inside the JVM and made distinct within a
+    chunk before they meet the known classes.
     """
-    latest = latest_chunks(chunks).where("class_name <> ''")
-    known = latest.where((F.col("chunk_type") == "whole_class") & F.col("class_name").rlike(rf"\A{TYPE_NAME}\z")).select("repo", F.col("class_name").alias("used_class")).distinct()
-    named = latest.select("repo", "class_name", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(f"({TYPE_NAME})")))).alias("used_class"))
+    code = code_of_classes(chunks)
+    known = code.select("repo", F.col("class_name").alias("used_class")).distinct()
+    named = code.select("repo", "class_name", F.explode(type_names(F.col("source"))).alias("used_class"))
     counted = named.where("used_class <> class_name").groupBy("repo", "class_name", "used_class").agg(F.count(F.lit(1)).alias("n_chunks"))
     return counted.join(known, ["repo", "used_class"], "left_semi").select("repo", "class_name", "used_class", "n_chunks")
 
@@ -96,7 +140,7 @@ def script_usage(components: DataFrame, scripts: list[DataFrame]) -> DataFrame:
     return used.join(one, "script_guid", "left").select("script_guid", "class_name", "n_assets", "n_components")
 
 
-def ambiguous_guids(scripts: DataFrame) -> DataFrame:
-    """guid, n_classes, n_paths of guids that stand for several classes or paths."""
-    made = scripts.groupBy(normal_guid(F.col("guid")).alias("guid")).agg(F.count_distinct("class_name").alias("n_classes"), F.count_distinct("script_path").alias("n_paths"))
-    return made.where("guid <> '' and (n_classes > 1 or n_paths > 1)")
+def ambiguous_classes(scripts: DataFrame) -> DataFrame:
+    """class_name, n_guids, guids (sorted) of classes that stand for several guids, each of which is another script."""
+    made = scripts.select("class_name", normal_guid(F.col("guid")).alias("guid")).where("class_name <> '' and guid <> ''").groupBy("class_name").agg(F.sort_array(F.collect_set("guid")).alias("guids"))
+    return made.where(F.size("guids") > 1).select("class_name", F.size("guids").alias("n_guids"), "guids")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import corpus, graphs, problems
+from corvane.plans import code, corpus, graphs, problems
 
-MODULES = [problems, corpus, graphs]
+MODULES = [problems, corpus, graphs, code]
 
 FLAGSHIP = "p3_found"
 

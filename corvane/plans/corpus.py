@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import corpus
 from corvane.operators.nearest import nearest
+from corvane.plans.sql import BLANKS, EDGES, LATEST, TYPE_RANK
 from corvane.session import read_table
 
 
@@ -29,40 +30,25 @@ QUERIES = {
     "dep_edges": _over_chunks(corpus.dependencies),
     "degree_topk": _over_chunks(lambda c: corpus.top_degrees(corpus.dependencies(c))),
     "asset_refs_by_guid": _usage,
-    "asset_disambiguation": lambda spark, folder: corpus.ambiguous_guids(read_table(spark, folder, "guid_map")),
+    "asset_disambiguation": lambda spark, folder: corpus.ambiguous_classes(read_table(spark, folder, "guid_map")).withColumn("guids", F.array_join("guids", "|")),
     "knn_topk": _nearest,
 }
 
-_B = "' ' || chr(9) || chr(10) || chr(13)"
-_LATEST = f"""
-WITH latest AS (
-  SELECT * REPLACE (regexp_replace(replace(file_path, '\\', '/'), '^(\\./+)+', '') AS file_path, lower(trim(chunk_type, {_B})) AS chunk_type)
-  FROM (SELECT *, row_number() OVER (PARTITION BY chunk_no ORDER BY indexed_at DESC NULLS LAST, repo DESC NULLS LAST, file_path DESC NULLS LAST) AS rn FROM code_chunk WHERE chunk_no IS NOT NULL)
-  WHERE rn = 1)
-"""
-_EDGES = (
-    _LATEST
-    + """, known AS (SELECT DISTINCT repo, class_name AS used_class FROM latest WHERE chunk_type = 'whole_class' AND regexp_full_match(class_name, '[A-Z]\\w{2,}')),
-named AS (SELECT DISTINCT chunk_no, repo, class_name, unnest(regexp_extract_all(source, '\\b[A-Z]\\w{2,}\\b')) AS used_class FROM latest WHERE class_name <> ''),
-edges AS (SELECT repo, class_name, used_class, count(*) AS n_chunks FROM named SEMI JOIN known USING (repo, used_class) WHERE used_class <> class_name GROUP BY ALL)
-"""
-)
-
 ORACLE = {
-    "file_chunks_ordered": _LATEST + "SELECT repo, file_path, (row_number() OVER (PARTITION BY repo, file_path ORDER BY start_line NULLS FIRST, chunk_no))::INTEGER AS position, chunk_no, chunk_type, start_line, end_line FROM latest",
-    "index_status": _LATEST + "SELECT repo, count(DISTINCT file_path) AS n_files, count(*) AS n_chunks, count(DISTINCT module) AS n_modules, max(indexed_at) AS last_indexed FROM latest GROUP BY repo",
-    "find_implementations": _LATEST
-    + f"""SELECT DISTINCT * FROM (SELECT regexp_replace(trim(b, {_B}), '<.*$', '') AS base_type, class_name, repo, module FROM (SELECT unnest(base_types) AS b, class_name, repo, module FROM latest WHERE class_name <> '')) WHERE base_type <> ''""",
-    "dep_edges": _EDGES + "SELECT * FROM edges",
-    "degree_topk": _EDGES
+    "file_chunks_ordered": LATEST + "SELECT repo, file_path, (row_number() OVER (PARTITION BY repo, file_path ORDER BY " + TYPE_RANK + ", start_line NULLS FIRST, chunk_no))::INTEGER AS position, chunk_no, chunk_type, start_line, end_line FROM latest",
+    "index_status": LATEST + "SELECT repo, count(DISTINCT file_path) AS n_files, count(*) AS n_chunks, count(DISTINCT module) AS n_modules, max(indexed_at) AS last_indexed FROM latest GROUP BY repo",
+    "find_implementations": LATEST
+    + f"""SELECT DISTINCT * FROM (SELECT regexp_replace(trim(b, {BLANKS}), '<.*$', '') AS base_type, class_name, repo, module FROM (SELECT unnest(base_types) AS b, class_name, repo, module FROM latest WHERE class_name <> '')) WHERE base_type <> ''""",
+    "dep_edges": EDGES + "SELECT * FROM edges",
+    "degree_topk": EDGES
     + """, degree AS (SELECT repo, class_name, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT repo, class_name, 1 AS o, 0 AS i FROM edges UNION ALL SELECT repo, used_class, 0, 1 FROM edges) GROUP BY ALL)
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY n_in DESC, n_out DESC, class_name))::INTEGER AS rank FROM degree) WHERE rank <= 10""",
     "asset_refs_by_guid": f"""
-WITH used AS (SELECT lower(replace(trim(script_guid, {_B}), '-', '')) AS script_guid, count(DISTINCT asset_path) AS n_assets, count(DISTINCT mb_no) AS n_components FROM mono_behaviour GROUP BY 1),
-known AS (SELECT lower(replace(trim(guid, {_B}), '-', '')) AS script_guid, script_path, class_name FROM (SELECT guid, script_path, class_name FROM guid_map UNION ALL SELECT guid, script_path, class_name FROM package_guid)),
+WITH used AS (SELECT lower(replace(trim(script_guid, {BLANKS}), '-', '')) AS script_guid, count(DISTINCT asset_path) AS n_assets, count(DISTINCT mb_no) AS n_components FROM mono_behaviour GROUP BY 1),
+known AS (SELECT lower(replace(trim(guid, {BLANKS}), '-', '')) AS script_guid, script_path, class_name FROM (SELECT guid, script_path, class_name FROM guid_map UNION ALL SELECT guid, script_path, class_name FROM package_guid)),
 one AS (SELECT script_guid, class_name FROM (SELECT *, row_number() OVER (PARTITION BY script_guid ORDER BY script_path NULLS FIRST, class_name NULLS FIRST) AS rn FROM known) WHERE rn = 1)
 SELECT used.script_guid, class_name, n_assets, n_components FROM used LEFT JOIN one USING (script_guid) WHERE used.script_guid <> ''""",
-    "asset_disambiguation": f"SELECT lower(replace(trim(guid, {_B}), '-', '')) AS guid, count(DISTINCT class_name) AS n_classes, count(DISTINCT script_path) AS n_paths FROM guid_map GROUP BY 1 HAVING lower(replace(trim(guid, {_B}), '-', '')) <> '' AND (count(DISTINCT class_name) > 1 OR count(DISTINCT script_path) > 1)",
+    "asset_disambiguation": f"SELECT class_name, len(g)::INT AS n_guids, array_to_string(g, '|') AS guids FROM (SELECT class_name, list_sort(list_distinct(list(guid))) AS g FROM (SELECT class_name, lower(replace(trim(guid, {BLANKS}), '-', '')) AS guid FROM guid_map) WHERE class_name <> '' AND guid <> '' GROUP BY ALL) WHERE len(g) > 1",
     "knn_topk": """
 SELECT query_id, rank::INTEGER AS rank, vec_id FROM (
   SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) ** 2, 9), v.vec_id) AS rank

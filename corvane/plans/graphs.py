@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import corpus, graph, references, retrieval, sections, snapshots
 from corvane.operators.nearest import nearest
-from corvane.plans.corpus import _EDGES, _LATEST
+from corvane.plans.sql import EDGES, LATEST
 from corvane.session import cut_lineage, read_table
 from corvane.streaming import events as streams
 
@@ -116,7 +116,7 @@ QUERIES = {
     "stream_dedup": stream_dedup,
 }
 
-_BOTH = _EDGES.rstrip() + """, both_ways AS MATERIALIZED (
+_BOTH = EDGES.rstrip() + """, both_ways AS MATERIALIZED (
   SELECT repo, class_name AS node, used_class AS other FROM edges UNION ALL SELECT repo, used_class, class_name FROM edges)
 """
 
@@ -156,7 +156,7 @@ def _defines() -> str:
     return f"CASE {' '.join(whens)} ELSE [] END"
 
 
-_REFERENCES = _LATEST + f""", symbols AS (SELECT DISTINCT repo, class_name AS symbol FROM latest WHERE chunk_type = 'whole_class' AND regexp_full_match(class_name, '[A-Z]\\w{{2,}}')),
+_REFERENCES = LATEST + f""", symbols AS (SELECT DISTINCT repo, class_name AS symbol FROM latest WHERE chunk_type = 'whole_class' AND regexp_full_match(class_name, '[A-Z]\\w{{2,}}')),
 lines AS (SELECT repo, file_path, start_line, parts[i] AS line, start_line + i - 1 AS line_no FROM (
   SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT repo, file_path, start_line, string_split(replace(replace(source, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM latest WHERE start_line IS NOT NULL))),
 named AS (SELECT repo, file_path, line_no, unnest(list_distinct(regexp_extract_all(line, '\\b[A-Z]\\w{{2,}}\\b'))) AS symbol, {_defines()} AS defines FROM lines),
@@ -168,7 +168,7 @@ _COUNT = "SELECT repo, file_path, count(DISTINCT chunk_no) AS n_chunks, max(inde
 
 ORACLE = {
     "spread_activation": _BOTH + _rounds(_SEEDS, _HOP, 2) + "SELECT repo, node AS class_name, round(sum(energy), 6) AS energy FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) ANTI JOIN r0 USING (repo, node) GROUP BY ALL",
-    "pagerank": _EDGES.rstrip() + _rounds(_RANK_START, _RANK_STEP, PAGE_RANK_ROUNDS) + f"SELECT repo, node AS class_name, round(held, 9) AS page_rank FROM r{PAGE_RANK_ROUNDS}",
+    "pagerank": EDGES.rstrip() + _rounds(_RANK_START, _RANK_STEP, PAGE_RANK_ROUNDS) + f"SELECT repo, node AS class_name, round(held, 9) AS page_rank FROM r{PAGE_RANK_ROUNDS}",
     "communities": _BOTH + _rounds("SELECT DISTINCT repo, node, node AS label FROM both_ways", _LABEL_STEP, COMMUNITY_ROUNDS) + f"SELECT repo, node AS class_name, label AS community FROM r{COMMUNITY_ROUNDS}",
     "calibration_thresholds": _KNN + "SELECT round(h, 6) AS high, round(m, 6) AS medium, round(l, 6) AS low FROM t",
     "confidence_label_score": _KNN + """SELECT query_id, vec_id, CASE WHEN round(d, 9) < round(h, 9) THEN 'HIGH' WHEN round(d, 9) < round(m, 9) THEN 'MEDIUM' WHEN round(d, 9) < round(l, 9) THEN 'LOW' ELSE 'NO MATCH' END AS label,
