@@ -42,6 +42,23 @@ class Function:
     start: int
     #: Where its body ends; the head's end if it has none.
     end: int = 0
+    #: What stands before the name in the head, and the qualifier before it in Lua and C++ (or Go's receiver).
+    lead: str = ""
+    owner: str = ""
+
+
+@dataclass
+class Type:
+    """A declared type; bases are the names after its colon or keyword, as they stand."""
+
+    name: str
+    kind: str
+    bases: list[str]
+    line: int
+    start: int
+    #: Where its body begins and ends; both are the end of the head if it has none.
+    body: int
+    end: int
 
 
 class Scanned:
@@ -130,16 +147,39 @@ class Scanned:
             return stop + 1 if stop >= 0 else line_end
         return bodies.get(opening, len(text))
 
+    def _bodies(self) -> dict[int, int] | list[int]:
+        if self.language.nesting == "indent":
+            return self._dedents()
+        return self._pairs(_BRACES, frozenset("{")) if self.language.nesting == "braces" else self._pairs(_WORDS, frozenset(("function", "if", "do", "repeat")))
+
+    def types(self) -> list[Type]:
+        """Declared types outside comments and strings, in order. Rust's impl blocks are types of kind impl; a Lua class has
+        no body of its own."""
+        out, text, bodies = [], self.masked, self._bodies()
+        for m in patterns(self.language)["type"].finditer(text):
+            found = m.groupdict()
+            start = m.start() + len(m.group()) - len(m.group().lstrip())
+            line = self.line_of(start)
+            if self.language.nesting == "indent":
+                body, end = m.end(), max(bodies[line], bodies[self.line_of(m.end() - 1)], m.end())
+            elif self.language.nesting == "words":
+                body = end = m.end()
+            else:
+                opening = m.end() - 1 if text[m.end() - 1] in "{;" else min((x for x in (text.find("{", m.end()), text.find(";", m.end())) if x >= 0), default=-1)
+                body, end = (opening, bodies.get(opening, len(text))) if opening >= 0 and text[opening] == "{" else (m.end(), max(opening + 1, m.end()))
+            bases = [b.strip() for b in re.split(r",(?![^<(]*[>)])|\bimplements\b|\bextends\b", found.get("bases") or "")]
+            if self.language.name == "cpp":
+                bases = [re.sub(r"^(?:(?:public|private|protected|virtual)\s+)*", "", b) for b in bases]
+            out.append(Type(found["name"], " ".join(found["kind"].split()), [b for b in bases if b and "=" not in b], line, start, body, end))
+        return out
+
     def functions(self) -> list[Function]:
         """Heads of functions outside comments and strings, in order; time is linear in the text."""
         before, after = patterns(self.language)["before"], patterns(self.language)["after"]
         joined = self.language.name in ("lua", "cpp")  # names there may have owners
         out, closes, text, inside = [], self._pairs(_BRACKET, frozenset("(")), self.masked, -1
         delimiters = [m.end() for m in _DELIMITER.finditer(text)]
-        if self.language.nesting == "indent":
-            bodies = self._dedents()
-        else:
-            bodies = self._pairs(_BRACES, frozenset("{")) if self.language.nesting == "braces" else self._pairs(_WORDS, frozenset(("function", "if", "do", "repeat")))
+        bodies = self._bodies()
         for m in _CALL.finditer(text):
             called, opening = m.group(1) or "", m.end() - 1
             close = closes.get(opening, 0) - 1
@@ -161,7 +201,9 @@ class Scanned:
                 end = close
             else:
                 end = after.match(text, close + 1).end() - 1
-            made = Function(re.split(r"[.:]+", name)[-1], self.text[opening + 1 : close], line, self.line_of(end), start)
+            parts, lead = re.split(r"[.:]+", name), text[start:name_at].strip()
+            receiver = re.search(r"\(\s*(?:\w+\s+)?\*?(\w+)", lead) if self.language.name == "go" else None
+            made = Function(parts[-1], self.text[opening + 1 : close], line, self.line_of(end), start, lead=lead, owner=receiver[1] if receiver else ".".join(parts[:-1]))
             made.end = self._body_end(made, close, bodies)
             out.append(made)
             inside = close

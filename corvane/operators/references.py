@@ -2,52 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.corpus import TYPE_NAME, latest_chunks
+from corvane.operators.corpus import TYPE_NAME, code_of_classes, latest_chunks
+from corvane.operators.parsing import definitions
 
-#: What defines a name in a line, by the endings of files; group 1 is the name. Files with other endings hold uses only.
-_TYPES = r"\b(?:class|struct|interface|enum|record)\s+(\w+)"
-_SCRIPT = [r"\b(?:class|function)\s+(\w+)", r"\b(?:const|let|var)\s+(\w+)"]
-DEFINING = {
-    ("cs",): [_TYPES, r"\b(?:public|private|protected|internal|static)\s+(?:\w+\s+)*(\w+)\s*[({]"],
-    ("cpp", "cc", "h", "hpp"): [_TYPES, r"^\s*\w+[\s*&]+(?:\w+::)*(\w+)\s*\("],
-    ("py",): [r"\b(?:class|def)\s+(\w+)"],
-    ("js", "jsx", "ts", "tsx"): _SCRIPT,
-    ("lua",): [r"\bfunction\s+(?:\w+[.:])?(\w+)\s*\(", r"\blocal\s+(\w+)\s*="],
-}
 
+def class_lines(chunks: DataFrame) -> DataFrame:
+    """repo, symbol, file_path, line_no: the lines that name a class of their repository.
 
-def defined_names(line: Column, ending: Column) -> Column:
-    """The names that a line of a file with that ending defines, as an array."""
-    made = F.array().cast("array<string>")
-    for endings, patterns in DEFINING.items():
-        names = F.concat(*(F.regexp_extract_all(line, F.lit(p), 1) for p in patterns))
-        made = F.when(ending.isin(*endings), names).otherwise(made)
-    return made
+    Lines are those of the latest chunks; a line that several chunks hold comes out once. Null sources, class names and
+    start lines give nothing. Names are taken apart in the JVM and met with the classes by a join on the name, so the work
+    follows the text, not the number of classes.
+    """
+    symbols = code_of_classes(chunks).select("repo", F.col("class_name").alias("symbol")).distinct()
+    lines = latest_chunks(chunks).where("start_line is not null").select("repo", "file_path", "start_line", F.posexplode(F.split("source", r"\r\n|\r|\n")).alias("__at", "__line"))
+    named = lines.select("repo", "file_path", (F.col("start_line") + F.col("__at")).alias("line_no"), F.explode(F.array_distinct(F.regexp_extract_all("__line", F.lit(f"({TYPE_NAME})")))).alias("symbol"))
+    return named.join(symbols, ["repo", "symbol"], "left_semi").select("repo", "symbol", "file_path", "line_no").distinct()
 
 
 def class_references(chunks: DataFrame) -> DataFrame:
-    """repo, symbol, file_path, line_no, tag (DEF or REF): the lines that name a class of their repository.
-
-    Lines are those of the latest chunks; a line that several chunks hold comes out once, as DEF if any of them shows
-    the definition. Null sources, class names and start lines give nothing. Names are taken apart in the JVM and met with
-    the classes by a join on the name, so the work follows the text, not the number of classes.
-    """
-    latest = latest_chunks(chunks)
-    symbols = latest.where((F.col("chunk_type") == "whole_class") & F.col("class_name").rlike(rf"\A{TYPE_NAME}\z")).select("repo", F.col("class_name").alias("symbol")).distinct()
-    lines = latest.where("start_line is not null").select("repo", "file_path", "start_line", F.posexplode(F.split("source", r"\r\n|\r|\n")).alias("__at", "__line"))
-    named = lines.select(
-        "repo",
-        "file_path",
-        (F.col("start_line") + F.col("__at")).alias("line_no"),
-        F.explode(F.array_distinct(F.regexp_extract_all("__line", F.lit(f"({TYPE_NAME})")))).alias("symbol"),
-        defined_names(F.col("__line"), F.lower(F.regexp_extract("file_path", r"\.(\w+)$", 1))).alias("__defines"),
-    )
-    marked = named.withColumn("__def", F.array_contains("__defines", F.col("symbol"))).drop("__defines")
-    return (
-        marked.join(symbols, ["repo", "symbol"], "left_semi")
-        .groupBy("repo", "symbol", "file_path", "line_no")
-        .agg(F.when(F.max("__def"), "DEF").otherwise("REF").alias("tag"))
-    )
+    """class_lines with tag: DEF where the language's lexer finds the definition of the symbol in that line, else REF."""
+    defined = definitions(chunks).select("repo", F.col("name").alias("symbol"), "file_path", "line_no", F.lit(True).alias("__def")).distinct()
+    tagged = class_lines(chunks).join(defined, ["repo", "symbol", "file_path", "line_no"], "left")
+    return tagged.select("repo", "symbol", "file_path", "line_no", F.when(F.col("__def"), "DEF").otherwise("REF").alias("tag"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import corpus, graph, references, retrieval, sections, snapshots
+from corvane.operators import corpus, graph, parsing, references, retrieval, sections, snapshots
 from corvane.operators.nearest import nearest
-from corvane.plans.sql import EDGES, LATEST
+from corvane.operators.parsing import definitions
+from corvane.plans.sql import EDGES, LINED, quoted
 from corvane.session import cut_lineage, read_table
 from corvane.streaming import events as streams
 
@@ -60,12 +61,28 @@ def rrf_fusion(spark, folder):
 
 
 def _references(spark, folder):
-    return references.class_references(read_table(spark, folder, "code_chunk"))
+    return references.class_lines(read_table(spark, folder, "code_chunk"))
 
 
 def reference_counts(spark, folder):
-    tagged = _references(spark, folder).groupBy("repo", "symbol")
-    return tagged.agg(F.count_if(F.col("tag") == "DEF").alias("n_def"), F.count_if(F.col("tag") == "REF").alias("n_ref"), F.count_distinct("file_path").alias("n_files"))
+    return _references(spark, folder).groupBy("repo", "symbol").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("file_path").alias("n_files"))
+
+
+def reference_tags(spark, folder):
+    return references.class_references(read_table(spark, folder, "code_chunk"))
+
+
+def definition_counts(spark, folder):
+    return definitions(read_table(spark, folder, "code_chunk")).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("name").alias("n_names"))
+
+
+def file_chunk_counts(spark, folder):
+    """What the chunkers make of the sources that are whole files, and of documents with a path."""
+    whole = corpus.latest_chunks(read_table(spark, folder, "code_chunk")).where("start_line = 1 and chunk_type in ('whole_class', 'template', 'json_key', 'yaml_key', 'css_rule', 'md_section')").select("repo", "file_path", "source")
+    texts = read_table(spark, folder, "documents").where("rel_path is not null").select("repo", F.col("rel_path").alias("file_path"), F.col("text").alias("source"))
+    made = parsing.file_chunks(whole.unionByName(texts))
+    ending = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
+    return made.groupBy(ending.alias("ending"), "chunk_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("doc_comment") != "").alias("n_documented"))
 
 
 def _scripts_at(spark, folder, moment):
@@ -109,6 +126,9 @@ QUERIES = {
     "rrf_fusion": rrf_fusion,
     "find_references": _references,
     "reference_counts": reference_counts,
+    "reference_tags": reference_tags,
+    "definition_counts": definition_counts,
+    "file_chunk_counts": file_chunk_counts,
     "manifest_diff": manifest_diff,
     "incremental_replace": incremental_replace,
     "md_sections": md_sections,
@@ -146,21 +166,11 @@ t AS (SELECT (SELECT quantile_cont(d, 0.25) FROM hit WHERE rank = 1) AS h, (SELE
 """
 
 
-def _defines() -> str:
-    """The names that `line` defines, by the ending of its file."""
-    ending = "lower(regexp_extract(file_path, '\\.(\\w+)$', 1))"
-    whens = []
-    for endings, patterns in references.DEFINING.items():
-        names = " || ".join(f"regexp_extract_all(line, '{p}', 1)" for p in patterns)
-        whens.append(f"WHEN {ending} IN ({', '.join(map(repr, endings))}) THEN {names}")
-    return f"CASE {' '.join(whens)} ELSE [] END"
-
-
-_REFERENCES = LATEST + f""", symbols AS (SELECT DISTINCT repo, class_name AS symbol FROM latest WHERE chunk_type = 'whole_class' AND regexp_full_match(class_name, '[A-Z]\\w{{2,}}')),
+_REFERENCES = EDGES.rstrip() + f""", symbols AS (SELECT repo, used_class AS symbol FROM known),
 lines AS (SELECT repo, file_path, start_line, parts[i] AS line, start_line + i - 1 AS line_no FROM (
-  SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT repo, file_path, start_line, string_split(replace(replace(source, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM latest WHERE start_line IS NOT NULL))),
-named AS (SELECT repo, file_path, line_no, unnest(list_distinct(regexp_extract_all(line, '\\b[A-Z]\\w{{2,}}\\b'))) AS symbol, {_defines()} AS defines FROM lines),
-tagged AS (SELECT repo, symbol, file_path, line_no::INTEGER AS line_no, CASE WHEN bool_or(list_contains(defines, symbol)) THEN 'DEF' ELSE 'REF' END AS tag FROM named SEMI JOIN symbols USING (repo, symbol) GROUP BY ALL)
+  SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT repo, file_path, start_line, string_split({LINED.format('source')}, chr(10)) AS parts FROM latest WHERE start_line IS NOT NULL))),
+line_names AS (SELECT repo, file_path, line_no::INTEGER AS line_no, unnest(list_distinct(regexp_extract_all(line, {quoted(corpus.TYPE_NAME)}))) AS symbol FROM lines),
+found AS (SELECT DISTINCT repo, symbol, file_path, line_no FROM line_names SEMI JOIN symbols USING (repo, symbol))
 """
 
 _AT = "SELECT guid, max(script_path) AS p FROM guid_map WHERE guid IS NOT NULL AND (added_at IS NULL OR added_at <= TIMESTAMP '{m}') AND (removed_at IS NULL OR removed_at > TIMESTAMP '{m}') GROUP BY ALL"
@@ -177,8 +187,8 @@ round(CASE WHEN d <= 0 THEN 100 WHEN d <= h THEN 100 - 15 * d / h WHEN d <= m TH
     "rrf_fusion": _KNN + """, again AS (SELECT * FROM (SELECT h.query_id, v.vec_id, row_number() OVER (PARTITION BY h.query_id ORDER BY round(list_distance(n.embedding::DOUBLE[], v.embedding::DOUBLE[]) ** 2, 9), v.vec_id) AS rank
   FROM hit h JOIN embeddings n ON n.vec_id = h.vec_id JOIN embeddings v ON v.vec_id <> h.query_id WHERE h.rank = 1) WHERE rank <= 10)
 SELECT query_id, vec_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS fused FROM (SELECT query_id, vec_id, rank FROM hit UNION ALL SELECT query_id, vec_id, rank FROM again) GROUP BY ALL""",
-    "find_references": _REFERENCES + "SELECT * FROM tagged",
-    "reference_counts": _REFERENCES + "SELECT repo, symbol, count(*) FILTER (tag = 'DEF') AS n_def, count(*) FILTER (tag = 'REF') AS n_ref, count(DISTINCT file_path) AS n_files FROM tagged GROUP BY ALL",
+    "find_references": _REFERENCES + "SELECT * FROM found",
+    "reference_counts": _REFERENCES + "SELECT repo, symbol, count(*) AS n_lines, count(DISTINCT file_path) AS n_files FROM found GROUP BY ALL",
     "manifest_diff": f"SELECT guid, CASE WHEN a.guid IS NULL THEN 'new' WHEN b.guid IS NULL THEN 'removed' WHEN a.p IS NOT DISTINCT FROM b.p THEN 'unchanged' ELSE 'changed' END AS status FROM ({_AT.format(m=BEFORE)}) a FULL JOIN ({_AT.format(m=AFTER)}) b USING (guid)",
     "incremental_replace": f"WITH old AS ({_COUNT.format('<')}), new AS ({_COUNT.format('>=')}) SELECT * FROM old ANTI JOIN new USING (repo, file_path) UNION ALL SELECT * FROM new",
     "md_sections": r"""WITH parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n(#{1,6} )', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),

@@ -62,7 +62,7 @@ def test_references(spark):
         (4, "q", "c.cs", None, 1, "Door", "method", t), (5, "r", "d.cs", "X", None, "Door", "method", t), (6, "r", None, "X", 1, None, None, None),
     ]
     found = {(r.symbol, r.file_path, r.line_no, r.tag) for r in references.class_references(spark.createDataFrame(rows, CHUNKS)).collect()}
-    assert found == {("Door", "a.cs", 3, "DEF"), ("Door", "a.cs", 4, "REF"), ("Door", "b.rs", 1, "REF"), ("Door", "b.rs", 2, "REF"), ("Key", "b.rs", 1, "REF")}
+    assert found == {("Door", "a.cs", 3, "DEF"), ("Door", "a.cs", 4, "REF"), ("Door", "b.rs", 1, "REF"), ("Door", "b.rs", 2, "REF"), ("Key", "b.rs", 1, "DEF")}
     assert references.class_references(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
