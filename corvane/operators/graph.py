@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.operators.skew import hot_keys, replicate_rows, salt_rows
+from corvane.operators.skew import hot_keys, replicate_rows, salt_rows, salted_join
 from corvane.session import cut_lineage
 
 
@@ -32,17 +32,19 @@ def spread_activation(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, ho
     most = W.partitionBy("repo").orderBy(F.desc(F.round("energy", 9)), "node")
     gained = None
     for _ in range(hops):
-        sent = links.join(front, ["repo", "node"]).groupBy("repo", F.col("other").alias("node")).agg(F.sum(F.col("energy") * decay).alias("energy"))
+        sent = salted_join(links, front, ["repo", "node"], F.col("other")).groupBy("repo", F.col("other").alias("node")).agg(F.sum(F.col("energy") * decay).alias("energy"))
         front = cut_lineage(sent.withColumn("__rank", F.row_number().over(most)).where(F.col("__rank") <= k).drop("__rank"))
         gained = front if gained is None else gained.unionByName(front)
     total = gained.groupBy("repo", F.col("node").alias("class_name")).agg(F.sum("energy").alias("energy"))
     return total.join(seeds.select("repo", "class_name"), ["repo", "class_name"], "left_anti")
 
 
-def page_rank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """repo, class_name, page_rank after so many rounds; the ranks of a repository sum to 1.
+def page_rank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 200, rounds_per_cut: int = 4) -> DataFrame:
+    """repo, class_name, page_rank once the ranks of every repository change by less than tolerance times its classes in a round.
 
-    What classes without outgoing edges hold is shared evenly. Edges of hot sources are salted once, before the rounds.
+    The ranks of a repository sum to 1. What classes without outgoing edges hold is shared evenly. Edges of hot sources are
+    salted once, before the rounds. Convergence is asked, and lineage cut, every few rounds; ranks that haven't settled
+    after most_rounds are an error.
     """
     once = edges.where("class_name <> used_class").select("repo", F.col("class_name").alias("node"), F.col("used_class").alias("to")).distinct()
     hot = cut_lineage(hot_keys(once, ["repo", "node"]))
@@ -51,26 +53,43 @@ def page_rank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFr
     nodes = ends.groupBy("repo", F.col("e.v").alias("node")).agg(F.sum("e.o").alias("n_out"))
     sizes = cut_lineage(nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n")))
     state = cut_lineage(nodes.join(sizes, "repo").select("repo", "node", "n_out", "n", (1 / F.col("n")).alias("held")))
-    for _ in range(rounds):
-        giving = replicate_rows(state.where("n_out > 0").select("repo", "node", (F.col("held") / F.col("n_out")).alias("gift")), hot, ["repo", "node"])
-        given = salted.join(giving, ["repo", "node", "__salt"]).groupBy("repo", F.col("to").alias("node")).agg(F.sum("gift").alias("got"))
-        idle = state.where("n_out = 0").groupBy("repo").agg(F.sum("held").alias("idle"))
-        held = (1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("idle", F.lit(0.0)) / F.col("n"))
-        state = cut_lineage(state.drop("held").join(given, ["repo", "node"], "left").join(idle, "repo", "left").select("repo", "node", "n_out", "n", held.alias("held")))
-    return state.select("repo", F.col("node").alias("class_name"), F.col("held").alias("page_rank"))
+    for _ in range(0, most_rounds, rounds_per_cut):
+        for _ in range(rounds_per_cut):
+            giving = replicate_rows(state.where("n_out > 0").select("repo", "node", (F.col("held") / F.col("n_out")).alias("gift")), hot, ["repo", "node"])
+            given = salted.join(giving, ["repo", "node", "__salt"]).groupBy("repo", F.col("to").alias("node")).agg(F.sum("gift").alias("got"))
+            idle = state.where("n_out = 0").groupBy("repo").agg(F.sum("held").alias("idle"))
+            held = (1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("idle", F.lit(0.0)) / F.col("n"))
+            state = state.withColumnRenamed("held", "was").join(given, ["repo", "node"], "left").join(idle, "repo", "left").select("repo", "node", "n_out", "n", "was", held.alias("held"))
+            last, state = state, state.drop("was")
+        last = cut_lineage(last)
+        state = last.drop("was")
+        moved = last.groupBy("repo").agg((F.sum(F.abs(F.col("held") - F.col("was"))) / F.max("n")).alias("__m")).agg(F.coalesce(F.max("__m"), F.lit(0.0))).first()[0]
+        if moved < tolerance:
+            return state.select("repo", F.col("node").alias("class_name"), F.col("held").alias("page_rank"))
+    raise ValueError(f"the ranks still move by {moved} after {most_rounds} rounds")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """repo, class_name, community by label propagation: a class takes the label most of its neighbours and it hold.
+def communities(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """repo, class_name, community by label propagation: a class takes the label most of its neighbours hold, its own first.
 
-    Labels start as names; ties fall to the least. All classes change at once and the number of rounds is fixed, so the
-    result is defined; classes without edges aren't in it.
+    Labels start as names. In each round half of the classes may change, chosen by a hash of name and round, so neighbours
+    don't swap labels for ever; a class keeps its label if no other is held by more neighbours, ties else fall to the
+    least. The rounds end when no class would change any more, in either half; labels that haven't settled after
+    most_rounds are an error. Classes without edges aren't in it.
     """
     links = cut_lineage(both_ways(edges))
-    state = links.select("repo", "node").distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        heard = links.join(state.withColumnRenamed("node", "other"), ["repo", "other"]).select("repo", "node", "label").unionByName(state)
-        votes = heard.groupBy("repo", "node", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("repo", "node").agg(F.max("n").alias("n"))
-        state = cut_lineage(votes.join(best, ["repo", "node", "n"]).groupBy("repo", "node").agg(F.min("label").alias("label")))
-    return state.select("repo", F.col("node").alias("class_name"), F.col("label").alias("community"))
+    state = cut_lineage(links.select("repo", "node").distinct().withColumn("label", F.col("node")))
+    for number in range(most_rounds):
+        heard = salted_join(links, state.withColumnRenamed("node", "other"), ["repo", "other"], F.col("node")).groupBy("repo", "node", "label").agg(F.count(F.lit(1)).alias("n"))
+        own = state.withColumnRenamed("label", "own")
+        voted = heard.join(own, ["repo", "node"])
+        top = F.max(F.struct("n", (F.col("label") == F.col("own")).alias("mine")))
+        most = voted.groupBy("repo", "node", "own").agg(top.alias("__top"))
+        least = voted.join(most.select("repo", "node", F.col("__top.n").alias("n")), ["repo", "node", "n"]).groupBy("repo", "node").agg(F.min("label").alias("__least"))
+        chosen = F.when(F.col("__top.mine"), F.col("own")).otherwise(F.col("__least"))
+        turn = F.substring(F.md5(F.concat("node", F.lit(f"/{number}"))), 1, 1) < "8"
+        wanted = cut_lineage(most.join(least, ["repo", "node"]).select("repo", "node", "own", chosen.alias("want"), turn.alias("turn")))
+        if wanted.where("own <> want").isEmpty():
+            return state.select("repo", F.col("node").alias("class_name"), F.col("label").alias("community"))
+        state = wanted.select("repo", "node", F.when(F.col("turn"), F.col("want")).otherwise(F.col("own")).alias("label"))
+    raise ValueError(f"labels still change after {most_rounds} rounds")

@@ -15,10 +15,28 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+#: So many queries meet a batch of vectors at once, which bounds the matrix of distances.
+TILE = 256
+
+
+def _nearest_of(ids: np.ndarray, matrix: np.ndarray, keys: np.ndarray, rows: np.ndarray, k: int, key: str) -> pd.DataFrame:
+    """The k rows nearest to each query by distances rounded as they are ranked, ties by key; all that tie are weighed."""
+    distance = np.round((matrix**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T, 9)
+    distance[ids[:, None] == keys[None, :]] = np.inf
+    bound = np.partition(distance, k - 1, axis=1)[:, k - 1] if len(keys) > k else np.full(len(ids), np.inf)
+    query, row = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance))
+    order = np.lexsort((keys[row], distance[query, row], query))
+    query, row = query[order], row[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    query, row = query[place < k], row[place < k]
+    return pd.DataFrame({"query_id": ids[query], key: keys[row], "__d": distance[query, row]})
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, distance: str | None = None) -> DataFrame:
     """query_id, rank, key: the k vectors of least squared distance to each query, itself left out; ties by key.
 
-    If distance names a column, the squared distance comes out under that name.
+    If distance names a column, the squared distance comes out under that name. Distances are rounded to 9 decimals before
+    they are compared.
 
     Each batch gives its own k best of each query, so only those are shuffled. Null vectors are left out.
     """
@@ -37,15 +55,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
             ids, matrix = shared.value
             for batch in batches:
                 keys, rows = batch["__key"].to_numpy(), np.stack(batch["__v"].to_numpy()).astype(np.float64)
-                distance = (matrix**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T
-                distance[ids[:, None] == keys[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(keys, distance.shape), distance), axis=1)[:, :k]
-                near = np.take_along_axis(distance, order, 1)
-                made = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: keys[order].ravel(), "__d": near.ravel()})
-                yield made[np.isfinite(made["__d"])]
+                for at in range(0, len(ids), TILE):
+                    yield _nearest_of(ids[at : at + TILE], matrix[at : at + TILE], keys, rows, k, key)
 
         found.append(rows.mapInPandas(best, f"query_id {kind}, `{key}` {kind}, __d double"))
     if not found:
         return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}" + (f", `{distance}` double" if distance else ""))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("__d", 9), key))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("__d", key))
     return reduce(DataFrame.unionByName, found).select("query_id", rank.alias("rank"), key, *([F.col("__d").alias(distance)] if distance else [])).where(F.col("rank") <= k)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions.keys import normal_guid
 from corvane.operators import corpus, graph, parsing, references, retrieval, sections, snapshots
 from corvane.operators.nearest import nearest
 from corvane.operators.parsing import definitions
-from corvane.plans.sql import EDGES, LINED, quoted
+from corvane.plans.sql import BLANKS, EDGES, LINED, quoted
 from corvane.session import cut_lineage, read_table
 from corvane.streaming import events as streams
 
-PAGE_RANK_ROUNDS, COMMUNITY_ROUNDS = 20, 5
+#: Rounds of the SQL, by which the results have settled; the operators stop by themselves.
+PAGE_RANK_ROUNDS, COMMUNITY_ROUNDS = 90, 40
 
 #: The two moments between which the table of scripts is compared, and the one at which chunks count as changed.
 BEFORE, AFTER, CHANGED_SINCE = "2024-03-01", "2024-09-01", "2024-06-01"
@@ -87,7 +89,7 @@ def file_chunk_counts(spark, folder):
 
 def _scripts_at(spark, folder, moment):
     rows = read_table(spark, folder, "guid_map").where(f"(added_at is null or added_at <= timestamp_ntz'{moment}') and (removed_at is null or removed_at > timestamp_ntz'{moment}')")
-    return rows.groupBy("guid").agg(F.max("script_path").alias("script_path"))
+    return rows.groupBy(normal_guid(F.col("guid")).alias("guid")).agg(F.max("script_path").alias("script_path"))
 
 
 def manifest_diff(spark, folder):
@@ -97,7 +99,7 @@ def manifest_diff(spark, folder):
 def incremental_replace(spark, folder):
     """Chunks of each file, with the counts of files that changed replaced by those of what came since."""
     chunks = read_table(spark, folder, "code_chunk")
-    since = F.col("indexed_at") >= F.lit(CHANGED_SINCE).cast("timestamp_ntz")
+    since = F.coalesce(F.col("indexed_at") >= F.lit(CHANGED_SINCE).cast("timestamp_ntz"), F.lit(False))  # without a time: not since
     count = lambda rows: rows.groupBy("repo", "file_path").agg(F.count_distinct("chunk_no").alias("n_chunks"), F.max("indexed_at").alias("last_indexed"))
     return snapshots.replace_keys(count(chunks.where(~since)), count(chunks.where(since)), ["repo", "file_path"])
 
@@ -107,20 +109,27 @@ def md_sections(spark, folder):
     return made.select("doc_id", "position", "level", "title", F.length("section").alias("n_chars"))
 
 
+def _deliveries(spark, folder):
+    """The events in deliveries of ten days each, every seventh event two deliveries late."""
+    events = read_table(spark, folder, "events")
+    number = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0)
+    return streams.event_stream(spark, streams.deliver(events, number, 5))
+
+
 def stream_window_counts(spark, folder):
-    made = streams.drain_updates(streams.window_counts(streams.event_stream(spark, f"{folder}/events.parquet")), ["window_start", "event_type"])
+    made = streams.drain_updates(streams.window_counts(_deliveries(spark, folder)), ["window_start", "event_type"])
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.round("total", 4).alias("total"))
 
 
 def stream_dedup(spark, folder):
-    made = streams.drain_rows(streams.without_repeats(streams.event_stream(spark, f"{folder}/events.parquet")))
+    made = streams.drain_rows(streams.without_repeats(_deliveries(spark, folder)))
     return made.select("event_id", "user_id", "event_type")
 
 
 QUERIES = {
     "spread_activation": lambda spark, folder: _activation(spark, folder).withColumn("energy", F.round("energy", 6)),
-    "pagerank": lambda spark, folder: graph.page_rank(_edges(spark, folder), PAGE_RANK_ROUNDS).withColumn("page_rank", F.round("page_rank", 9)),
-    "communities": lambda spark, folder: graph.communities(_edges(spark, folder), COMMUNITY_ROUNDS),
+    "pagerank": lambda spark, folder: graph.page_rank(_edges(spark, folder), tolerance=1e-10).withColumn("page_rank", F.round("page_rank", 6)),
+    "communities": lambda spark, folder: graph.communities(_edges(spark, folder)),
     "calibration_thresholds": calibration_thresholds,
     "confidence_label_score": confidence_label_score,
     "rrf_fusion": rrf_fusion,
@@ -143,7 +152,7 @@ _BOTH = EDGES.rstrip() + """, both_ways AS MATERIALIZED (
 
 def _rounds(start: str, step: str, n: int) -> str:
     """CTEs r0 to rn, each made by step from the one before it."""
-    return f", r0 AS MATERIALIZED ({start})" + "".join(f", r{i} AS MATERIALIZED ({step.format(last=f'r{i - 1}')})" for i in range(1, n + 1))
+    return f", r0 AS MATERIALIZED ({start})" + "".join(f", r{i} AS MATERIALIZED ({step.format(last=f'r{i - 1}', round=i - 1)})" for i in range(1, n + 1))
 
 
 _HOP = """SELECT repo, node, energy FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY round(energy, 9) DESC, node) AS rk FROM (
@@ -155,8 +164,10 @@ _RANK_START = """SELECT repo, node, n_out, count(*) OVER (PARTITION BY repo) AS
 _RANK_STEP = """SELECT s.repo, s.node, s.n_out, s.n, 0.15::DOUBLE / s.n + 0.85::DOUBLE * (coalesce(g.got, 0) + coalesce(d.idle, 0) / s.n) AS held FROM {last} s
   LEFT JOIN (SELECT e.repo, e.used_class AS node, sum(x.held / x.n_out) AS got FROM edges e JOIN {last} x ON x.repo = e.repo AND x.node = e.class_name GROUP BY ALL) g USING (repo, node)
   LEFT JOIN (SELECT repo, sum(held) AS idle FROM {last} WHERE n_out = 0 GROUP BY ALL) d ON d.repo = s.repo"""
-_LABEL_STEP = """SELECT repo, node, label FROM (SELECT *, row_number() OVER (PARTITION BY repo, node ORDER BY c DESC, label) AS rk FROM (
-  SELECT repo, node, label, count(*) AS c FROM (SELECT b.repo, b.node, x.label FROM both_ways b JOIN {last} x ON x.repo = b.repo AND x.node = b.other UNION ALL SELECT repo, node, label FROM {last}) GROUP BY ALL)) WHERE rk = 1"""
+_LABEL_STEP = """SELECT s.repo, s.node, CASE WHEN substr(md5(s.node || '/{round}'), 1, 1) < '8' THEN v.want ELSE s.label END AS label FROM {last} s JOIN (
+  SELECT repo, node, CASE WHEN bool_or(label = own AND c = top) THEN any_value(own) ELSE min(label) FILTER (c = top) END AS want FROM (SELECT *, max(c) OVER (PARTITION BY repo, node) AS top FROM (
+    SELECT b.repo, b.node, x.label, o.label AS own, count(*) AS c FROM both_ways b JOIN {last} x ON x.repo = b.repo AND x.node = b.other JOIN {last} o ON o.repo = b.repo AND o.node = b.node GROUP BY ALL))
+  GROUP BY repo, node) v ON v.repo = s.repo AND v.node = s.node"""
 
 _KNN = """WITH probe AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding::DOUBLE[], lambda x: -x) AS m FROM embeddings WHERE vec_id % 50 = 0),
 hit AS MATERIALIZED (SELECT * FROM (SELECT p.vec_id AS query_id, v.vec_id, list_distance(p.e, v.embedding::DOUBLE[]) ** 2 AS d, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_distance(p.e, v.embedding::DOUBLE[]) ** 2, 9), v.vec_id) AS rank
@@ -173,12 +184,19 @@ line_names AS (SELECT repo, file_path, line_no::INTEGER AS line_no, unnest(list_
 found AS (SELECT DISTINCT repo, symbol, file_path, line_no FROM line_names SEMI JOIN symbols USING (repo, symbol))
 """
 
-_AT = "SELECT guid, max(script_path) AS p FROM guid_map WHERE guid IS NOT NULL AND (added_at IS NULL OR added_at <= TIMESTAMP '{m}') AND (removed_at IS NULL OR removed_at > TIMESTAMP '{m}') GROUP BY ALL"
-_COUNT = "SELECT repo, file_path, count(DISTINCT chunk_no) AS n_chunks, max(indexed_at) AS last_indexed FROM code_chunk WHERE indexed_at {} TIMESTAMP '" + CHANGED_SINCE + "' GROUP BY ALL"
+_AT = f"SELECT lower(replace(trim(guid, {BLANKS}), '-', '')) AS guid, max(script_path) AS p FROM guid_map WHERE guid IS NOT NULL AND (added_at IS NULL OR added_at <= TIMESTAMP '{{m}}') AND (removed_at IS NULL OR removed_at > TIMESTAMP '{{m}}') GROUP BY 1"
+_COUNT = "SELECT repo, file_path, count(DISTINCT chunk_no) AS n_chunks, max(indexed_at) AS last_indexed FROM code_chunk WHERE coalesce(indexed_at >= TIMESTAMP '" + CHANGED_SINCE + "', false) = {} GROUP BY ALL"
+
+#: Each event with the watermark that judges it: an hour before the latest event of all deliveries but the last one before.
+#: (Spark judges what is late by the watermark at the end of the batch before the last.)
+_DELIVERED = """WITH batched AS (SELECT *, least(floor((day(ts) - 1) / 10), 2)::INT + 2 * (event_id % 7 = 0)::INT AS batch FROM events WHERE ts IS NOT NULL),
+latest AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 HOUR AS mark FROM batched GROUP BY batch),
+marked AS (SELECT batched.*, date_trunc('millisecond', mark) AS mark FROM batched JOIN latest USING (batch))
+"""
 
 ORACLE = {
     "spread_activation": _BOTH + _rounds(_SEEDS, _HOP, 2) + "SELECT repo, node AS class_name, round(sum(energy), 6) AS energy FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) ANTI JOIN r0 USING (repo, node) GROUP BY ALL",
-    "pagerank": EDGES.rstrip() + _rounds(_RANK_START, _RANK_STEP, PAGE_RANK_ROUNDS) + f"SELECT repo, node AS class_name, round(held, 9) AS page_rank FROM r{PAGE_RANK_ROUNDS}",
+    "pagerank": EDGES.rstrip() + _rounds(_RANK_START, _RANK_STEP, PAGE_RANK_ROUNDS) + f"SELECT repo, node AS class_name, round(held, 6) AS page_rank FROM r{PAGE_RANK_ROUNDS}",
     "communities": _BOTH + _rounds("SELECT DISTINCT repo, node, node AS label FROM both_ways", _LABEL_STEP, COMMUNITY_ROUNDS) + f"SELECT repo, node AS class_name, label AS community FROM r{COMMUNITY_ROUNDS}",
     "calibration_thresholds": _KNN + "SELECT round(h, 6) AS high, round(m, 6) AS medium, round(l, 6) AS low FROM t",
     "confidence_label_score": _KNN + """SELECT query_id, vec_id, CASE WHEN round(d, 9) < round(h, 9) THEN 'HIGH' WHEN round(d, 9) < round(m, 9) THEN 'MEDIUM' WHEN round(d, 9) < round(l, 9) THEN 'LOW' ELSE 'NO MATCH' END AS label,
@@ -190,10 +208,10 @@ SELECT query_id, vec_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS fused FROM (S
     "find_references": _REFERENCES + "SELECT * FROM found",
     "reference_counts": _REFERENCES + "SELECT repo, symbol, count(*) AS n_lines, count(DISTINCT file_path) AS n_files FROM found GROUP BY ALL",
     "manifest_diff": f"SELECT guid, CASE WHEN a.guid IS NULL THEN 'new' WHEN b.guid IS NULL THEN 'removed' WHEN a.p IS NOT DISTINCT FROM b.p THEN 'unchanged' ELSE 'changed' END AS status FROM ({_AT.format(m=BEFORE)}) a FULL JOIN ({_AT.format(m=AFTER)}) b USING (guid)",
-    "incremental_replace": f"WITH old AS ({_COUNT.format('<')}), new AS ({_COUNT.format('>=')}) SELECT * FROM old ANTI JOIN new USING (repo, file_path) UNION ALL SELECT * FROM new",
+    "incremental_replace": f"WITH old AS ({_COUNT.format('false')}), new AS ({_COUNT.format('true')}) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.repo = old.repo AND new.file_path = old.file_path) UNION ALL SELECT * FROM new",
     "md_sections": r"""WITH parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n(#{1,6} )', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
 one AS (SELECT doc_id, i - 1 AS position, p[i] AS s FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts))
 SELECT doc_id, position::INTEGER AS position, length(regexp_extract(s, '\A(#{1,6}) ', 1))::INTEGER AS level, regexp_extract(s, '\A#{1,6} +([^\n]*)', 1) AS title, length(s)::INTEGER AS n_chars FROM one""",
-    "stream_window_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
-    "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "stream_window_counts": _DELIVERED + "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM marked WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL",
+    "stream_dedup": _DELIVERED + "SELECT DISTINCT event_id, user_id, event_type FROM marked WHERE mark IS NULL OR ts > mark",
 }

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.session import shared_folder
 
 
-def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
-    """The files of path, a folder or one file, as a stream, with time as a timestamp that watermarks take."""
+def deliver(events: DataFrame, number: Column, n: int) -> str:
+    """Write events as n deliveries, one after the other, by their number from 0, and give their folder.
+
+    The order of a file stream is that of the files' times, so each delivery is a later batch than the one before.
+    """
+    folder = shared_folder(events.sparkSession, "deliveries")
+    numbered = events.withColumn("__number", number)
+    for i in range(n):
+        numbered.where(F.col("__number") == i).drop("__number").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def event_stream(spark: SparkSession, path: str, time: str = "ts", files_per_batch: int | None = 1) -> DataFrame:
+    """The files of path (a folder or one file) as a stream, with time as a timestamp that watermarks take."""
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file by a pattern only
-    return spark.readStream.schema(schema).parquet(pattern).withColumn(time, F.col(time).cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(pattern).withColumn(time, F.col(time).cast("timestamp"))
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour", time: str = "ts", kind: str = "event_type") -> DataFrame:

@@ -25,10 +25,10 @@ def test_activation_sends_along_edges_both_ways(spark):
 
 def test_page_rank_keeps_its_sum(spark):
     star = [(f"C{i}", "Hub") for i in range(300)] + [("Hub", "End")]
-    ranks = {r.class_name: r.page_rank for r in graph.page_rank(edges(spark, *star), rounds=3).collect()}
+    ranks = {r.class_name: r.page_rank for r in graph.page_rank(edges(spark, *star)).collect()}
     assert len(ranks) == 302 and sum(ranks.values()) == pytest.approx(1)
     assert ranks["Hub"] > ranks["C1"] and ranks["End"] > ranks["C1"]
-    assert graph.page_rank(edges(spark), rounds=1).count() == 0
+    assert graph.page_rank(edges(spark)).count() == 0
 
 
 def test_communities_of_two_cliques(spark):
@@ -37,6 +37,13 @@ def test_communities_of_two_cliques(spark):
     assert {found[c] for c in "ABCD"} == {"A"} and {found[c] for c in "WXYZ"} == {"W"}
 
 
+def test_labels_settle(spark):
+    pairs = [("A", "B"), ("C", "D"), ("D", "E"), ("E", "F"), ("F", "C"), *((f"L{i}", "Hub") for i in range(40))]
+    found = {r.class_name: r.community for r in graph.communities(edges(spark, *pairs)).collect()}
+    assert found["A"] == found["B"] and len({found[f"L{i}"] for i in range(40)} | {found["Hub"]}) == 1
+    assert graph.communities(edges(spark)).count() == 0
+
+
 def test_fusion_and_scores(spark):
     one = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "q string, v string, rank int")
     two = spark.createDataFrame([("q", "y", 1), ("q", "z", None)], "q string, v string, rank int")
