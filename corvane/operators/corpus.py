@@ -144,3 +144,16 @@ def ambiguous_classes(scripts: DataFrame) -> DataFrame:
     """class_name, n_guids, guids (sorted) of classes that stand for several guids, each of which is another script."""
     made = scripts.select("class_name", normal_guid(F.col("guid")).alias("guid")).where("class_name <> '' and guid <> ''").groupBy("class_name").agg(F.sort_array(F.collect_set("guid")).alias("guids"))
     return made.where(F.size("guids") > 1).select("class_name", F.size("guids").alias("n_guids"), "guids")
+
+
+def enclosing_types(chunks: DataFrame) -> DataFrame:
+    """chunk_no, outer_no, outer_class: the innermost chunk of a type whose lines hold those of another chunk of its file.
+
+    Of types with the same lines the one of least number counts; a chunk doesn't hold itself. Types and members meet within
+    their file, of which a file has few.
+    """
+    latest = latest_chunks(chunks).where("start_line is not null and end_line is not null")
+    types = latest.where("chunk_type in ('whole_class', 'class_summary')").select("repo", "file_path", F.col("chunk_no").alias("outer_no"), F.col("class_name").alias("outer_class"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"))
+    held = latest.select("repo", "file_path", "chunk_no", "start_line", "end_line").join(types, ["repo", "file_path"]).where("__from <= start_line and __to >= end_line and outer_no <> chunk_no")
+    inner = F.min(F.struct(F.col("__to") - F.col("__from"), "outer_no", "outer_class"))
+    return held.groupBy("chunk_no").agg(inner.alias("__in")).select("chunk_no", "__in.outer_no", "__in.outer_class")

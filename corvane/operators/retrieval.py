@@ -20,6 +20,14 @@ def calibrate(related: DataFrame, unrelated: DataFrame, distance: str = "distanc
     return both.agg(F.percentile("__near", F.lit(0.25)).alias("high"), F.percentile("__near", F.lit(0.75)).alias("medium"), F.percentile("__far", F.lit(0.25)).alias("low"))
 
 
+def profile(distances: DataFrame, groups: list[str], distance: str = "distance") -> DataFrame:
+    """groups, n, least, p25, p50, p75, most of the distances of each group; null distances count nowhere."""
+    at = lambda p: F.percentile(distance, F.lit(p))
+    return distances.where(F.col(distance).isNotNull()).groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.min(distance).alias("least"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max(distance).alias("most")
+    )
+
+
 def confidence(distance: Column, high: Column, medium: Column, low: Column) -> Column:
     """HIGH, MEDIUM, LOW or NO MATCH."""
     return F.when(distance < high, "HIGH").when(distance < medium, "MEDIUM").when(distance < low, "LOW").otherwise("NO MATCH")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import assets, code, corpus, graphs, problems
+from corvane.plans import assets, code, corpus, graphs, problems, upkeep
 
-MODULES = [problems, corpus, graphs, code, assets]
+MODULES = [problems, corpus, graphs, code, assets, upkeep]
 
 FLAGSHIP = "p3_found"
 
