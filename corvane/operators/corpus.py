@@ -157,3 +157,26 @@ def enclosing_types(chunks: DataFrame) -> DataFrame:
     held = latest.select("repo", "file_path", "chunk_no", "start_line", "end_line").join(types, ["repo", "file_path"]).where("__from <= start_line and __to >= end_line and outer_no <> chunk_no")
     inner = F.min(F.struct(F.col("__to") - F.col("__from"), "outer_no", "outer_class"))
     return held.groupBy("chunk_no").agg(inner.alias("__in")).select("chunk_no", "__in.outer_no", "__in.outer_class")
+
+
+def richest_types(chunks: DataFrame) -> DataFrame:
+    """repo, class_name, n_bases, base_types: of the chunks of each class the base types of the one that names most.
+
+    Of as many the chunk of least number counts; classes without bases have none.
+    """
+    code = code_of_classes(chunks).withColumn("__n", F.coalesce(F.size("base_types"), F.lit(0)))
+    best = code.groupBy("repo", "class_name").agg(F.max(F.struct(F.greatest("__n", F.lit(0)).alias("n"), (-F.col("chunk_no")).alias("o"), "base_types")).alias("__b"))
+    return best.select("repo", "class_name", F.col("__b.n").alias("n_bases"), F.coalesce("__b.base_types", F.array().cast("array<string>")).alias("base_types"))
+
+
+def entity_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """name, chunk_no, matched (class, method or base): the latest chunks that each name (distinct, column name) stands for.
+
+    A chunk that a name matches in several ways comes out once, as the first of these.
+    """
+    latest = latest_chunks(chunks)
+    own = [F.struct(F.col("class_name").alias("name"), F.lit(0).alias("way")), F.struct(F.col("method_name").alias("name"), F.lit(1).alias("way"))]
+    bases = F.transform(F.coalesce("base_types", F.array().cast("array<string>")), lambda b: F.struct(b.alias("name"), F.lit(2).alias("way")))
+    held = latest.select("chunk_no", F.explode(F.concat(F.array(*own), bases)).alias("__h")).select("chunk_no", "__h.name", "__h.way").where("name <> ''")
+    met = held.join(names.select("name").distinct(), "name").groupBy("name", "chunk_no").agg(F.min("way").alias("__way"))
+    return met.select("name", "chunk_no", F.element_at(F.array(F.lit("class"), F.lit("method"), F.lit("base")), F.col("__way") + 1).alias("matched"))

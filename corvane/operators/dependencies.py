@@ -14,7 +14,7 @@ PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+\(?([\w, \t]+)"
 SCRIPT_DEFAULT = r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?(\w+)[ \t]*(?:,|[ \t]from\b)"
 SCRIPT_NAMED = r"\b(?:import|export)[ \t]+(?:type[ \t]+)?(?:\w+[ \t]*,[ \t]*)?\{([^{}]*)\}[ \t]*from\b"
 REQUIRED = r"\brequire[ \t]*\(?[ \t]*['\"]([\w./-]+)['\"]"
-INTEROP = r"\bCS\.([A-Z][\w.]*\w)"
+INTEROP = r"\bCS((?:\.\w+)+)"
 
 
 def node_key(class_name: Column, namespace: Column, module: Column, file_path: Column) -> Column:

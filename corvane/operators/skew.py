@@ -18,7 +18,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
     The count is pre-aggregated on the map side, so no hot key travels as rows. An empty df gives no rows.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
+    total = counts.agg(F.sum("__n").alias("__total")).scalar()  # from the same counts, so df is read once
     part = F.greatest(F.floor(total / F.lit(share)), F.lit(1))
     return counts.where(F.col("__n") > part).select(*keys, F.ceil(F.col("__n") / part).cast("int").alias("__salts"))
 

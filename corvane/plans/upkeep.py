@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import corpus, dependencies, graph, index, retrieval
 from corvane.operators.nearest import nearest
 from corvane.plans.graphs import CHANGED_SINCE
-from corvane.plans.sql import LATEST, quoted
+from corvane.plans.sql import EDGES, LATEST, quoted
 from corvane.session import cut_lineage, read_table
 from corvane.sources import trees
 
@@ -98,7 +98,20 @@ def asset_repos(spark, folder):
     return rows.groupBy("repo").agg(F.bool_or(F.col("chunk_type").isin("prefab_summary", "gameobject", "scriptable_object")).alias("has_assets"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("module") != "", F.col("module")))), "|").alias("modules"))
 
 
+def entity_context(spark, folder):
+    """What the classes of packages stand for among the chunks, and the base types of the project's classes."""
+    chunks = _chunks(spark, folder)
+    asked = corpus.implementations(chunks).select(F.col("base_type").alias("name")).unionByName(read_table(spark, folder, "guid_map").select(F.col("class_name").alias("name")))
+    return corpus.entity_chunks(chunks, asked)
+
+
+def richest_types(spark, folder):
+    return corpus.richest_types(_chunks(spark, folder)).withColumn("base_types", F.array_join("base_types", "|"))
+
+
 QUERIES = {
+    "entity_context": entity_context,
+    "richest_types": richest_types,
     "kept_files": kept_files,
     "lang_autodetect": lambda spark, folder: trees.source_folders(_files(spark, folder)),
     "source_dir_assign": source_dir_assign,
@@ -122,6 +135,11 @@ _AT = """SELECT repo, file_path, max(indexed_at) AS t FROM (SELECT *, row_number
   SELECT chunk_no, repo, regexp_replace(replace(file_path, '\\', '/'), '^(\\./+)+', '') AS file_path, indexed_at FROM code_chunk WHERE chunk_no IS NOT NULL AND lower(trim(chunk_type, ' ')) = 'whole_class' AND indexed_at <= TIMESTAMP '{}')) WHERE rn = 1 GROUP BY ALL"""
 
 ORACLE = {
+    "richest_types": EDGES.rstrip() + """ SELECT repo, class_name, greatest(coalesce(len(base_types), 0), 0)::INT AS n_bases, coalesce(array_to_string(base_types, '|'), '') AS base_types FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, class_name ORDER BY coalesce(len(base_types), 0) DESC, chunk_no) AS rk FROM code) WHERE rk = 1""",
+    "entity_context": LATEST + """, a AS (SELECT DISTINCT class_name AS name FROM guid_map UNION SELECT regexp_replace(trim(b, ' ' || chr(9) || chr(10) || chr(13)), '<.*$', '') FROM (SELECT unnest(base_types) AS b, class_name FROM latest WHERE class_name <> '')),
+h AS (SELECT chunk_no, class_name AS name, 0 AS way FROM latest UNION ALL SELECT chunk_no, method_name, 1 FROM latest UNION ALL SELECT chunk_no, unnest(base_types), 2 FROM latest)
+SELECT name, chunk_no, ['class', 'method', 'base'][min(way) + 1] AS matched FROM h SEMI JOIN a USING (name) WHERE name <> '' GROUP BY name, chunk_no""",
     "index_run_counts": f"""WITH a AS ({_AT.format(CHANGED_SINCE)}), b AS (SELECT * FROM ({_AT.format('2100-01-01')}) WHERE length(file_path) % 10 <> 0),
 s AS (SELECT coalesce(a.repo, b.repo) AS repo, CASE WHEN a.t IS NULL THEN 'new' WHEN b.t IS NULL THEN 'removed' WHEN a.t = b.t THEN 'unchanged' ELSE 'changed' END AS s FROM a FULL JOIN b ON a.repo = b.repo AND a.file_path = b.file_path)
 SELECT repo, count(*) FILTER (s <> 'removed') AS n_scanned, count(*) FILTER (s = 'new') AS n_new, count(*) FILTER (s = 'changed') AS n_changed, count(*) FILTER (s = 'unchanged') AS n_unchanged, count(*) FILTER (s = 'removed') AS n_removed FROM s GROUP BY repo""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import assets, bindings, dependencies, index, lines, projections, search, suggestions
-from corvane.sources import trees
+from corvane.sources import sinks, trees
 
 
 def rows(df, *columns):
@@ -160,3 +160,13 @@ def test_index_updates_like_a_full_run(spark):
     assert index.full_index(old.limit(0)).chunks.count() == 0
     seen = spark.createDataFrame([("r", datetime(2024, 1, 1, 0, 10)), ("q", datetime(2024, 1, 1))], "repo string, indexed_at timestamp_ntz")
     assert rows(trees.newer_than(new, seen), "repo", "n_newer", "stale") == [("q", 0, False), ("r", 1, True)]
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = lambda *found: spark.createDataFrame(list(found), "repo string, k int, v string")
+    sinks.upsert(spark, table(("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x")), path, ["repo", "k"])
+    sinks.upsert(spark, table(("a", 2, "y"), ("c", 3, "y")), path, ["repo", "k"])
+    assert rows(spark.read.parquet(path), "repo", "k", "v") == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 3, "y")]
+    sinks.delete_keys(spark, table(("a", 1, ""), ("c", 3, "")), path, ["repo", "k"])
+    assert rows(spark.read.parquet(path), "repo", "k", "v") == [("a", 2, "y"), ("b", 1, "x")]
