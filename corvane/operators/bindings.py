@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.functions.keys import strip_blanks
+
 # How a statement on a container begins; the forms of bindings (RE2 and Java alike); the calls that set a scope.
 STATEMENT_START = r"\b[Cc]ontainer\s*(?:\.|$)"
 BIND = r"\bBind<\s*([^<>]+?)\s*>\s*\(\s*\)\s*\.\s*To<\s*([^<>]+?)\s*>"
@@ -48,7 +50,7 @@ def assembly_edges(references: DataFrame, assemblies: DataFrame) -> DataFrame:
     """
     by_guid = F.lower(F.regexp_extract("reference", r"^GUID:\s*(\w+)$", 1))
     known = assemblies.where("guid <> ''").groupBy(F.lower("guid").alias("__guid")).agg(F.min("name").alias("__known"))
-    asked = references.withColumn("__guid", by_guid)
+    asked = references.withColumn("reference", strip_blanks(F.col("reference"))).withColumn("__guid", by_guid)
     shown = F.coalesce("__known", F.concat(F.lit("["), F.substring("__guid", 1, 8), F.lit("...]")))
     return asked.join(known, "__guid", "left").select("name", F.when(F.col("__guid") == "", F.col("reference")).otherwise(shown).alias("reference")).distinct()
 

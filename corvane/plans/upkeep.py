@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import corpus, dependencies, graph, index, retrieval
+from corvane.operators import bindings, corpus, dependencies, graph, index, projections, retrieval
 from corvane.operators.nearest import nearest
 from corvane.plans.graphs import CHANGED_SINCE
 from corvane.plans.sql import EDGES, LATEST, quoted
 from corvane.session import cut_lineage, read_table
 from corvane.sources import trees
 
+ALIASES, PREFIXES = {"ferrule": "main", "weldview": "view"}, ["Ferrule.", "Store.", "Vision."]
 EXCLUDES = ["*.min.js", "*.gen.ts", "node_modules/", "obj/", "*_gen.go", "third_party"]
 
 
@@ -109,7 +110,29 @@ def richest_types(spark, folder):
     return corpus.richest_types(_chunks(spark, folder)).withColumn("base_types", F.array_join("base_types", "|"))
 
 
+def chunk_projections(spark, folder):
+    """What is shown of each chunk: metadata kept beside its vector (as md5), kind of file, stripped namespace, age and more."""
+    rows = corpus.latest_chunks(_chunks(spark, folder))
+    c = F.col
+    line = F.split(F.regexp_replace("source", r"\r\n?", "\n"), "\n", -1)[0]
+    key = dependencies.node_key(c("class_name"), F.coalesce("namespace", F.lit("")), c("module"), c("file_path"))
+    age = F.unix_timestamp(F.lit("2030-01-01").cast("timestamp_ntz")) - F.unix_timestamp("indexed_at")
+    return rows.select(
+        "chunk_no", projections.aliased(c("repo"), ALIASES).alias("alias"), projections.asset_kind(c("file_path")).alias("kind"), projections.without_prefixes(c("namespace"), PREFIXES).alias("namespace"),
+        projections.matches_pattern(c("file_path"), "*.cs").alias("is_cs"), F.md5(projections.trimmed_line(line, 40)).alias("line_hash"), dependencies.class_of_key(key).alias("key_class"), projections.age_text(age).alias("age"),
+        F.md5(F.concat_ws("|", F.coalesce("method_name", F.lit("")), F.array_join("base_types", ","), F.substring("source", 1, projections.MOST_CHARS))).alias("stored_hash"),
+    )
+
+
+def guid_reference_names(spark, folder):
+    """Which scripts assets refer to, by name where the project has the guid."""
+    refs = read_table(spark, folder, "mono_behaviour").where("script_guid is not null").select(F.col("asset_path").alias("name"), F.concat(F.lit("GUID:"), F.trim("script_guid")).alias("reference"))
+    return bindings.assembly_edges(refs, read_table(spark, folder, "guid_map").select("guid", F.col("class_name").alias("name")))
+
+
 QUERIES = {
+    "chunk_projections": chunk_projections,
+    "guid_reference_names": guid_reference_names,
     "entity_context": entity_context,
     "richest_types": richest_types,
     "kept_files": kept_files,
@@ -134,7 +157,22 @@ found AS (SELECT repo, language, n_files, array_to_string(a[1:least(len(list_fil
 _AT = """SELECT repo, file_path, max(indexed_at) AS t FROM (SELECT *, row_number() OVER (PARTITION BY chunk_no ORDER BY indexed_at DESC, repo DESC NULLS LAST, file_path DESC NULLS LAST) AS rn FROM (
   SELECT chunk_no, repo, regexp_replace(replace(file_path, '\\', '/'), '^(\\./+)+', '') AS file_path, indexed_at FROM code_chunk WHERE chunk_no IS NOT NULL AND lower(trim(chunk_type, ' ')) = 'whole_class' AND indexed_at <= TIMESTAMP '{}')) WHERE rn = 1 GROUP BY ALL"""
 
+_STRIP = "namespace"
+for _p in PREFIXES:
+    _STRIP = f"CASE WHEN starts_with({_STRIP}, {quoted(_p)}) THEN substr({_STRIP}, {len(_p) + 1}) ELSE {_STRIP} END"
+_FIRST = "regexp_replace(string_split(replace(replace(source, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[1], '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
 ORACLE = {
+    "chunk_projections": LATEST + f"""SELECT chunk_no, CASE repo {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())} ELSE repo END AS alias,
+CASE WHEN lower(file_path) LIKE '%.prefab' THEN 'prefab' WHEN lower(file_path) LIKE '%.unity' THEN 'scene' ELSE 'other' END AS kind, {_STRIP} AS namespace, ends_with(file_path, '.cs') AS is_cs,
+md5(CASE WHEN length({_FIRST}) > 40 THEN left({_FIRST}, 40) || '...' ELSE {_FIRST} END) AS line_hash,
+CASE WHEN coalesce(namespace, '') <> '' THEN string_split(class_name, '.')[-1] ELSE class_name END AS key_class,
+CASE WHEN s >= 3600 THEN (s // 3600) || 'h' ELSE (s // 60) || 'm' END AS age, md5(concat_ws('|', coalesce(method_name, ''), array_to_string(base_types, ','), left(source, 5000))) AS stored_hash
+FROM (SELECT *, (epoch(TIMESTAMP '2030-01-01') - floor(epoch(indexed_at)))::BIGINT AS s FROM latest)""",
+    "guid_reference_names": """WITH k AS (SELECT lower(guid) AS g, min(class_name) AS name FROM guid_map WHERE guid <> '' GROUP BY 1),
+r AS (SELECT asset_path AS name, trim('GUID:' || trim(script_guid, ' '), ' ' || chr(9) || chr(10) || chr(13)) AS reference FROM mono_behaviour WHERE script_guid IS NOT NULL),
+x AS (SELECT *, lower(regexp_extract(reference, '^GUID:\\s*(\\w+)$', 1)) AS g FROM r)
+SELECT DISTINCT x.name, CASE WHEN x.g = '' THEN reference ELSE coalesce(k.name, '[' || left(x.g, 8) || '...]') END AS reference FROM x LEFT JOIN k ON k.g = x.g""",
     "richest_types": EDGES.rstrip() + """ SELECT repo, class_name, greatest(coalesce(len(base_types), 0), 0)::INT AS n_bases, coalesce(array_to_string(base_types, '|'), '') AS base_types FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, class_name ORDER BY coalesce(len(base_types), 0) DESC, chunk_no) AS rk FROM code) WHERE rk = 1""",
     "entity_context": LATEST + """, a AS (SELECT DISTINCT class_name AS name FROM guid_map UNION SELECT regexp_replace(trim(b, ' ' || chr(9) || chr(10) || chr(13)), '<.*$', '') FROM (SELECT unnest(base_types) AS b, class_name FROM latest WHERE class_name <> '')),

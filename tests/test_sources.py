@@ -170,3 +170,17 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.parquet(path), "repo", "k", "v") == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 3, "y")]
     sinks.delete_keys(spark, table(("a", 1, ""), ("c", 3, "")), path, ["repo", "k"])
     assert rows(spark.read.parquet(path), "repo", "k", "v") == [("a", 2, "y"), ("b", 1, "x")]
+
+
+def test_pages_merges_and_thresholds(spark):
+    table = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 1)], "g string, v int")
+    made = search.page(table, ["g"], [F.col("v")], offset=2, limit=3)
+    assert rows(made, "g", "v", "position", "total", "next_offset") == [("a", 2, 3, 7, 5), ("a", 3, 4, 7, 5), ("a", 4, 5, 7, 5)]
+    assert rows(search.page(table, ["g"], [F.col("v")], offset=5, limit=3), "v", "next_offset") == [(5, None), (6, None)]
+    with pytest.raises(ValueError):
+        search.page(table, ["g"], [F.col("v")], offset=-1)
+    hits = spark.createDataFrame([(1, 10, "x", 50.0), (1, 10, "y", 70.0), (1, 11, "x", 70.0), (2, 10, "x", None)], "query_id int, vec_id int, collection string, score double")
+    assert rows(search.merge_collections(hits, 2), "query_id", "position", "collection", "vec_id") == [(1, 1, "x", 11), (1, 2, "y", 10), (2, 1, "x", 10)]
+    repos, known = spark.createDataFrame([("a",), ("b",)], "repo string"), spark.createDataFrame([("a", 1.0, 2.0, None)], "repo string, high double, medium double, low double")
+    assert rows(search.thresholds_or_default(repos, known), "repo", "high", "medium", "low") == [("a", 1.0, 2.0, 875.0), ("b", 650.0, 775.0, 875.0)]
+    assert rows(projections.stored_metadata(spark.createDataFrame([("r", ".\\a.cs", None, None, None, "m", None, None, 1, 2, ["A", "B"], "x" * 6000)], "repo string, file_path string, class_name string, method_name string, namespace string, chunk_type string, module string, doc_comment string, start_line int, end_line int, base_types array<string>, source string")), "file_path", "class_name", "base_types") == [("a.cs", "", "A,B")]
