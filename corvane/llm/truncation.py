@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,6 +55,7 @@ _BLOCKS = frozenset(f"<{x}" for x in "pre div ul ol table tr summary remarks det
 _PROSE_TOKEN = re.compile(r"(?m)(?P<fence>^[ \t>]*(?:`{3,4}|~{3,4})(?![`~]))|(?P<gap>\n[ \t\r>]*\n|\n[ \t>]*(?:[-*+]|\d+[.)]|#{1,6})[ \t])|(?P<note><!--)|(?P<tag></?[a-zA-Z])|[(\[{«“)\]}»”`\"]")
 _FENCE_END = re.compile(r"(?m)^[ \t>]*(?:`{3,4}|~{3,4})(?![`~])")
 _CODE_TOKEN = re.compile(r"\"\"\"|'''|[\"'`()\[\]{}]|/\*|(?<!\S)--\[=*\[|(?<!:)//|(?<!\S)--(?=[\s-]|\Z)|(?<!\S)#")
+_NEWLINE, _LEAD = re.compile("\n"), re.compile(r"[ \t\r\f\v]*")
 _STRING = re.compile(r'"(?:\\.|[^"\\\n])*("?)')
 _SINGLE = re.compile(r"'(?:\\.|[^'\\\n])*('?)")
 
@@ -74,19 +77,54 @@ _LAST_WORD = (
 )
 
 
-def _close(stack: list[tuple[str, int, int]], opener: str, indent: int | None = None) -> None:
-    """Takes the last such opener, or the last at that indent, and all inside it off the stack, if there is one."""
-    same = [at for at, x in enumerate(stack) if x[0] == opener]
-    if same:
-        level = [at for at in same if stack[at][2] == indent] if indent is not None else []
-        del stack[(level or same)[-1] :]
-
-
-def _indent(text: str, at: int) -> tuple[int, bool]:
-    """How far the line of that offset is indented, and whether the offset is at its first solid character."""
-    lead = text[text.rfind("\n", 0, at) + 1 : at]
-    blanks = lead[: len(lead) - len(lead.lstrip())]
-    return len(blanks.expandtabs(4)), blanks == lead
+class _Stack(list):
+    """What is open, as (opener, offset, indent); counts tell at once that an opener isn't there."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.counts: Counter[str] = Counter()
+
+    def push(self, opener: str, at: int, indent: int = 0) -> None:
+        self.append((opener, at, indent))
+        self.counts[opener] += 1
+
+    def keep(self, kept: frozenset[str]) -> None:
+        """Takes all but the kept openers off."""
+        if len(self) and any(n and o not in kept for o, n in self.counts.items()):
+            self[:] = [x for x in self if x[0] in kept]
+            self.counts = Counter(x[0] for x in self)
+
+    def close(self, opener: str, indent: int | None = None) -> None:
+        """Takes the last such opener, or the last at that indent, and all inside it off, if there is one."""
+        if not self.counts[opener]:
+            return
+        at = len(self) - 1
+        if indent is not None:
+            while at >= 0 and not (self[at][0] == opener and self[at][2] == indent):
+                at -= 1
+        if indent is None or at < 0:
+            at = len(self) - 1
+            while self[at][0] != opener:
+                at -= 1
+        for x in self[at:]:
+            self.counts[x[0]] -= 1
+        del self[at:]
+
+
+class _Lines:
+    """How far the line of an offset is indented, and whether the offset is its first solid character."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known = text, {}
+        self.starts = [0, *(m.end() for m in _NEWLINE.finditer(text))]
+
+    def indent(self, at: int) -> tuple[int, bool]:
+        n = bisect_right(self.starts, at) - 1
+        if n not in self.known:
+            lead = _LEAD.match(self.text, self.starts[n])
+            self.known[n] = (len(lead.group().expandtabs(4)), lead.end())
+        width, solid = self.known[n]
+        return width, solid == at
 
 
 def open_in_code(text: str) -> list[tuple[str, int, int]]:
@@ -95,7 +133,7 @@ def open_in_code(text: str) -> list[tuple[str, int, int]]:
     Strings end with their line, but for those of three quotes and backticks; comments hold no brackets. A closer at the
     beginning of a line closes the opener of the same indent, if there is one, and all inside it.
     """
-    stack: list[tuple[str, int, int]] = []
+    stack, lines = _Stack(), _Lines(text)
     at, n = 0, len(text)
     while m := _CODE_TOKEN.search(text, at):
         token, i, at = m.group(), m.start(), m.end()
@@ -111,20 +149,18 @@ def open_in_code(text: str) -> list[tuple[str, int, int]]:
             elif found.end() == n and (token == '"' or text[i - 1 : i] in (" ", "(", ",", "=", "[", "{", ":")):
                 return [*stack, (token, i, 0)]
         elif token in "([{":
-            stack.append((token, i, _indent(text, i)[0]))
+            stack.push(token, i, lines.indent(i)[0])
         elif token in ")]}":
-            indent, first = _indent(text, i)
-            _close(stack, _PAIRS[token], indent if first else None)
+            indent, first = lines.indent(i)
+            stack.close(_PAIRS[token], indent if first else None)
         else:
             at = text.find("\n", at)
             if at < 0:
                 break
     if not stack:
         return stack
-    last_line = text.rstrip()
-    end = last_line.rfind("\n") + 1
-    indent = len(text[end : len(last_line)]) - len(text[end : len(last_line)].lstrip())
-    indent = len(text[end : end + indent].expandtabs(4))
+    end = text.rstrip().rfind("\n") + 1
+    indent = lines.indent(end)[0]
     closes = text[end:].lstrip()[:1] in tuple(")]}") or text[end:].strip() == "end"
     within = lambda what, level: indent > level or indent == level and what == "{" and not closes
     return [x for x in stack if x[1] >= end or within(x[0], x[2])]
@@ -136,7 +172,7 @@ def open_in_prose(text: str) -> list[tuple[str, int, int]]:
     Apostrophes are letters. Blank lines, list items and headings end what is open inside a paragraph, but for blocks.
     A fence is skipped to its end; without one, all that follows is inside it.
     """
-    stack: list[tuple[str, int, int]] = []
+    stack = _Stack()
     at = 0
     while m := _PROSE_TOKEN.search(text, at):
         token, i, at, kind = m.group(), m.start(), m.end(), m.lastgroup
@@ -148,7 +184,7 @@ def open_in_prose(text: str) -> list[tuple[str, int, int]]:
             line = text.find("\n", found.end())
             at = len(text) if line < 0 else line
         elif kind == "gap":
-            stack = [x for x in stack if x[0] in _BLOCKS]
+            stack.keep(_BLOCKS)
             at -= token.count("\n") > 1  # the line end may also begin the next token
         elif kind == "note":
             end = text.find("-->", at)
@@ -163,19 +199,19 @@ def open_in_prose(text: str) -> list[tuple[str, int, int]]:
             if tag[4] is None:
                 return [*stack, (name, i, 0)]
             if tag[1]:
-                _close(stack, name)
+                stack.close(name)
             elif not tag[3].endswith("/") and tag[2].lower() in _CLOSED_TAGS:
-                stack.append((name, i, 0))
+                stack.push(name, i)
             at = tag.end()
         elif token in "`\"":
-            if any(x[0] == token for x in stack):
-                _close(stack, token)
+            if stack.counts[token]:
+                stack.close(token)
             elif token == "`" or (not text[i - 1 : i].strip() or text[i - 1] in "([{") and text[at : at + 1].strip():
-                stack.append((token, i, 0))
+                stack.push(token, i)
         elif token in "([{«“":
-            stack.append((token, i, 0))
+            stack.push(token, i)
         else:
-            _close(stack, _PAIRS[token])
+            stack.close(_PAIRS[token])
     return stack
 
 

@@ -316,6 +316,11 @@ def test_terminators_count_by_the_source(spark):
     assert [k for k in found if k < 200 and found[k] == "sentence"] == [] and found[200] == "sentence"
 
 
+def test_long_texts_are_read_in_linear_time():
+    for text in ("f(x);" * 60_000, "(" * 60_000 + ")" * 60_000, "{\n" * 60_000 + "]\n" * 60_000, "<b>x (" * 40_000, '"a `b ' * 40_000, "word " * 100_000):
+        assert truncation.ending(text)[0] in ("whole", "open", "unended", "bare")
+
+
 def test_layout_tells_strays():
     stray = "class A {\n    void Go(int x {\n        x = f(3;\n    }\n}\n"
     assert truncation.open_in_code(stray) == []
