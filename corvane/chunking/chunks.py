@@ -132,12 +132,15 @@ def code_chunks(path: str, text: str) -> list[Chunk]:
             out.append(file.chunk("whole_class", name, None, t, t.bases))
         elif not whole:
             out.append(_summary(file, t, name))
+    inside = -1  # where the outermost function before this one ends
     for f in file.functions:
+        nested = f.start < inside and f.end <= inside
+        inside = max(inside, f.end)
         around = [(t, name) for t, name in named if t.body <= f.start < t.end]
         owner = around[-1][1] if around else f.owner
         if around and (small or around[-1][0].kind in ("enum", "interface")):
             continue
-        if f.end and any(g is not f and g.start < f.start and f.end <= g.end for g in file.functions) and language.nesting != "words":
+        if nested and language.nesting != "words":
             continue  # a function inside another one
         out += _function(file, f, owner, bool(around))
     if not small:

@@ -14,6 +14,7 @@ _CALL = re.compile(r"(?<![\w$.:~])(#?[A-Za-z_$~][\w$]*(?:(?:::|\.|:)~?[A-Za-z_$]
 _DELIMITER = re.compile(r"[;{}\n]")
 _BRACES = re.compile(r"[{}]")
 _WORDS = re.compile(r"\b(?:function|if|do|repeat|end|until)\b")
+_BLANKS = re.compile(r"\s*")
 _LINE_END = re.compile(r"\r\n?")
 
 
@@ -191,7 +192,7 @@ class Scanned:
             start = delimiters[at - 1] if at else 0
             if called in ("function", "func"):
                 name_at, called = opening, ""
-            fits = before.fullmatch(text, start, name_at)
+            fits = before.fullmatch(text, min(_BLANKS.match(text, start).end(), name_at), name_at)
             if fits is None or NOT_CALLED.intersection(text[start:name_at].split()) or not after.match(text, close + 1):
                 continue
             name = called or fits.groupdict().get("var")
